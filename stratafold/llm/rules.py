@@ -177,12 +177,22 @@ def learn(rows: list[tuple[int, dict[str, float], int]], measures: list[str] = M
         bad = sum(b for _, b in caught)
         if bad < min_support or bad < min_precision * len(caught) or worth(rule) < 2 * min_precision - 1:
             break
-        rules.append(rule)
+        rules.append(_tightest(rule))
         grow = [r for r in grow if not all(c.holds(r[0]) for c in rule)]
         prune = [r for r in prune if not all(c.holds(r[0]) for c in rule)]
     return rules
 
 
+def _tightest(rule: Rule) -> Rule:
+    """The rule without conditions that another one on the same measure implies."""
+    best: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        held = best.get((c.measure, c.above))
+        if held is None or (c.threshold > held.threshold) == c.above:
+            best[c.measure, c.above] = c
+    return tuple(best.values())
+
+
 def verdict(rules: list[Rule]) -> Column:
     """The ordered list as one conditional expression: true keeps the document."""
     if not rules:
