@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, rules, simhash
+from . import mixing, rules, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_ball": simhash.query,
         "op3_pareto_mixing": mixing.query,
         "op7_decision_lists": rules.query,
+        "op10_seed_extend": substrings.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_pareto_mixing": mixing.ORACLE,
+        "op10_seed_extend": substrings.ORACLE,
     }
