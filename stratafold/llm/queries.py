@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, rules, simhash, substrings
+from . import classlm, mixing, packing, rules, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_ball": simhash.query,
         "op3_pareto_mixing": mixing.query,
         "op7_decision_lists": rules.query,
+        "op8_brown_classes": classlm.query,
         "op9_bin_completion": packing.query,
         "op10_seed_extend": substrings.query,
     }
