@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classlm, mixing, packing, rules, simhash, substrings
+from . import classlm, media, mixing, packing, rules, simhash, substrings, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_ball": simhash.query,
         "op3_pareto_mixing": mixing.query,
+        "op4_netpbm_bmp": media.query,
+        "op6_url_logistic": urls.query,
         "op7_decision_lists": rules.query,
         "op8_brown_classes": classlm.query,
         "op9_bin_completion": packing.query,
