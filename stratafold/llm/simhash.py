@@ -82,9 +82,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Values that meet in one variant are at most 2 * (radius // 2) bits apart from
     each other, so a star around the least node of a variant connects all that
-    meet there: rows grow with the ball, not with pairs.  An odd radius keeps one
-    more half-bit: the ball is of radius (radius + 1) // 2 and each star link is
-    verified, as is a chain between the others.
+    meet there: rows grow with the ball, not with pairs.  That needs an even radius.
     """
     if radius % 2:
         raise ValueError("the radius must be even, so that all that meet in a variant are linked")
@@ -137,11 +135,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay: the one with the least id of each component.
 
-    Repeated rows with that id stay once.  Columns are those of ``docs``.
+    Of several rows with that id one stays.  Columns are those of ``docs``.
     """
-    found = near_duplicates(docs).where(F.col("id").eqNullSafe(F.col("root"))).select("id").distinct()
-    first = docs.join(found, docs["doc_id"].eqNullSafe(found["id"]), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    kept = store.table(near_duplicates(docs).where(F.col("id").eqNullSafe(F.col("root"))).groupBy("id").agg(F.count("*").alias("n")), "kept")
+    first = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+    # Ids are unique as a rule; only where some are not need whole rows meet again.
+    return first if kept.where("n > 1").isEmpty() else first.dropDuplicates(["doc_id"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
