@@ -230,4 +230,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     judged = judge(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", "text"), fit(docs, labels))
-    return judged.where("kept").select("_row.*")
+    # A column that is not deterministic keeps the filter above the projection; pushed
+    # below it, the statistics would be computed once for every condition.
+    return judged.select("_row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("_stays")).where("_stays").select("_row.*")
