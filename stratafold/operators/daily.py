@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import logistic, min_max
 
-#: One row a day: the calendar bounds every window here, whatever the events' number.
-_ALL = Window.partitionBy(F.lit(0))
-_DAYS = _ALL.orderBy("day")
+# One row a day: the calendar bounds every window here, whatever the events' number.
+def _all():
+    return Window.partitionBy(F.lit(0))
+
+
+def _in_order():
+    return _all().orderBy("day")
+
+
 DECAY, GAIN = 0.78, 0.22
 
 
@@ -19,7 +25,7 @@ def daily(catalogue: DataFrame) -> DataFrame:
     span = found.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null")
     days = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("day"))
     full = days.join(found, "day", "left").select("day", F.coalesce("n_events", F.lit(0)).alias("n_events"), F.coalesce("max_mag", F.lit(0.0)).alias("max_mag"))
-    return full.select("*", min_max(F.col("max_mag"), _ALL).alias("mag_n"), min_max(F.col("n_events"), _ALL).alias("cnt_n"))
+    return full.select("*", min_max(F.col("max_mag"), _all()).alias("mag_n"), min_max(F.col("n_events"), _all()).alias("cnt_n"))
 
 
 def with_memory(days: DataFrame) -> DataFrame:
@@ -37,17 +43,17 @@ def with_memory(days: DataFrame) -> DataFrame:
 def with_probability(days: DataFrame) -> DataFrame:
     accel = F.col("mag_n") * 0.28 + F.col("cnt_n") * 0.26 + F.col("memory") * 0.08
     prob = days.withColumn("prob", logistic(accel, 5.5, 0.42))
-    return prob.withColumn("prob_delta", F.col("prob") - F.coalesce(F.lag("prob").over(_DAYS), F.lit(0.0)))
+    return prob.withColumn("prob_delta", F.col("prob") - F.coalesce(F.lag("prob").over(_in_order()), F.lit(0.0)))
 
 
 def with_coherence(days: DataFrame) -> DataFrame:
     """Run flags of rising probability, rolling variances, stability and scores."""
 
     def rolling(n: int):
-        frame = _DAYS.rowsBetween(1 - n, 0)
+        frame = _in_order().rowsBetween(1 - n, 0)
         return F.when(F.count("prob").over(frame) == n, F.var_samp("prob").over(frame)).otherwise(0.0)
 
-    rising = [F.coalesce(F.lag("prob_delta", i).over(_DAYS), F.lit(0.0)) > 0 for i in (1, 2)]
+    rising = [F.coalesce(F.lag("prob_delta", i).over(_in_order()), F.lit(0.0)) > 0 for i in (1, 2)]
     out = days.withColumn("coherence", (F.col("prob_delta") > 0) & rising[0]).withColumn("strong_coherence", F.col("coherence") & rising[1])
     out = out.withColumn("prob_var_3", rolling(3)).withColumn("prob_var_5", rolling(5)).withColumn("stability", 1 / (1 + F.col("prob_var_3") * 10 + F.col("prob_var_5") * 5))
     score = F.col("prob") * 0.4 + F.col("memory") * 0.3 + F.col("coherence").cast("int") * 0.2 + F.col("stability") * 0.1
@@ -65,7 +71,7 @@ def alerts(days: DataFrame) -> DataFrame:
     """Alert days with their first applicable reason.  The quality threshold is the
     upper quartile of the whole series, so this is a batch operator."""
     before = days.select(
-        "*", F.coalesce(F.lag("quality_score").over(_DAYS), F.lit(0.0)).alias("_q"), F.coalesce(F.lag("state").over(_DAYS), F.lit("quiet")).alias("_s"), F.percentile("quality_score", 0.75).over(_ALL).alias("_t")
+        "*", F.coalesce(F.lag("quality_score").over(_in_order()), F.lit(0.0)).alias("_q"), F.coalesce(F.lag("state").over(_in_order()), F.lit("quiet")).alias("_s"), F.percentile("quality_score", 0.75).over(_all()).alias("_t")
     )
     p, q = F.col("prob"), F.col("quality_score")
     reason = F.when((q >= F.col("_t")) & F.col("strong_coherence"), "quality_coherent").when((q > F.col("_q") + 0.12) & (p > 0.40), "quality_jump")

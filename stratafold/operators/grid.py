@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import max_scaled
 
-#: One row a cell: a 2-degree grid has at most 16,200, whatever the events' number.
-_CELLS = Window.partitionBy(F.lit(0))
 SIZE = 2
 #: Weights of energy, acceleration, memory, clustering and magnitude.
 RISK = {"energy": 0.28, "accel": 0.22, "memory": 0.20, "neighbours": 0.18, "max_mag": 0.12}
 
 
+def _cells():
+    """All cells: a 2-degree grid has at most 16,200, whatever the events' number."""
+    return Window.partitionBy(F.lit(0))
+
+
 def cell(x: Column, size: int = SIZE) -> Column:
     return (F.floor(x / size) * size).cast("long")
 
@@ -30,12 +33,12 @@ def toy_phases(found: DataFrame) -> DataFrame:
     results depend on this, so it is kept.
     """
     raw = F.col("n_events") * F.col("avg_mag")
-    base = F.avg(raw).over(_CELLS)
+    base = F.avg(raw).over(_cells())
     toy = F.bround(F.greatest(F.log1p(F.when(base > 0, raw / base).otherwise(0.0)), F.lit(0.0)), 3)
     scored = found.withColumn("toy_score", toy)
-    low, high = F.min("toy_score").over(_CELLS), F.max("toy_score").over(_CELLS)
+    low, high = F.min("toy_score").over(_cells()), F.max("toy_score").over(_cells())
     scored = scored.withColumn("norm_score", F.when(high > low, F.bround((F.col("toy_score") - low) / (high - low), 3)).otherwise(0.0))
-    cuts = scored.withColumn("_p", F.percentile("norm_score", [0.3, 0.5, 0.7, 0.9]).over(_CELLS))
+    cuts = scored.withColumn("_p", F.percentile("norm_score", [0.3, 0.5, 0.7, 0.9]).over(_cells()))
     close = F.abs(F.get("_p", 3) - F.get("_p", 0)) < 0.5
     s = F.col("toy_score")
 
@@ -68,8 +71,8 @@ def risk(catalogue: DataFrame, now: Column, size: int = SIZE) -> DataFrame:
     rate, before = F.col("recent") / 7.0, F.col("previous") / 23.0
     found = neighbours(found.withColumn("accel", F.when(before > 0, rate / before).when(F.col("recent") > 0, 2.0).otherwise(1.0)), size)
     trend = F.when(F.col("accel") > 1.25, "Rising").when(F.col("accel") < 0.85, "Falling").otherwise("Stable")
-    score = sum((max_scaled(F.col(c), _CELLS) * w for c, w in RISK.items()), F.lit(0.0))
-    scored = found.withColumn("_score", score).withColumn("risk", max_scaled(F.col("_score"), _CELLS))
+    score = sum((max_scaled(F.col(c), _cells()) * w for c, w in RISK.items()), F.lit(0.0))
+    scored = found.withColumn("_score", score).withColumn("risk", max_scaled(F.col("_score"), _cells()))
     r = F.col("risk")
     phase = F.when(r < 0.30, "Stable").when(r < 0.50, "Perturbation").when(r < 0.70, "Instability").when(r < 0.90, "Critical Cluster").otherwise("Transition Risk")
     return scored.select("lat_cell", "lon_cell", "n_events", "max_mag", "accel", "neighbours", "risk", trend.alias("trend"), phase.alias("phase"))

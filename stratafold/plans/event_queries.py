@@ -166,17 +166,17 @@ RADAR = CAT + """, aged AS (
 RADAR_OUT = """lat_cell, lon_cell, n_events, round(max_mag, 6) AS max_mag, round(accel, 6) AS accel, neighbours, round(risk, 6) AS risk,
   CASE WHEN accel > 1.25 THEN 'Rising' WHEN accel < 0.85 THEN 'Falling' ELSE 'Stable' END AS trend,
   CASE WHEN risk < 0.3 THEN 'Stable' WHEN risk < 0.5 THEN 'Perturbation' WHEN risk < 0.7 THEN 'Instability' WHEN risk < 0.9 THEN 'Critical Cluster' ELSE 'Transition Risk' END AS phase"""
-NOW = F.expr("timestamp '2024-01-31 00:00:00'")
+NOW = "timestamp '2024-01-31 00:00:00'"
 
 
 @query(f"WITH {RADAR} SELECT {RADAR_OUT} FROM risky")
 def radar_risk(spark, sf):
-    return r6(grid.risk(catalogue(spark, sf), NOW))
+    return r6(grid.risk(catalogue(spark, sf), F.expr(NOW)))
 
 
 @query(f"WITH {RADAR} SELECT {RADAR_OUT} FROM risky ORDER BY risky.risk DESC, lat_cell, lon_cell LIMIT 8")
 def top_cells(spark, sf):
-    return r6(grid.top_cells(grid.risk(catalogue(spark, sf), NOW), 8))
+    return r6(grid.top_cells(grid.risk(catalogue(spark, sf), F.expr(NOW)), 8))
 
 
 FEAT = CAT + """, bounds AS (
