@@ -88,3 +88,9 @@ def max_scaled(x: Column, over) -> Column:
     """Scaled by the maximum; zeros if that is zero."""
     high = F.max(x).over(over)
     return F.when(high != 0, x / high).otherwise(0.0)
+
+
+def safe_corr(x: Column, y: Column) -> Column:
+    """Correlation over complete pairs; NULL, not an error, where one side is constant."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite, pair_id
+from ..functions.scalars import finite, pair_id, safe_corr
 
 LEAST, UNIQUE = 20, 3
 
@@ -30,7 +30,7 @@ def spearman(rows: DataFrame, keys: list[str], least: int = LEAST, unique: int =
     """Strength of each (keys, source, target) with the reason where it has none."""
     by = [*keys, "source", "target"]
     ranked = rows.select(*by, "x", "y", average_rank("x", by).alias("_rx"), average_rank("y", by).alias("_ry"))
-    found = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("x").alias("_ux"), F.count_distinct("y").alias("_uy"), F.corr("_rx", "_ry").alias("_r"))
+    found = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("x").alias("_ux"), F.count_distinct("y").alias("_uy"), safe_corr(F.col("_rx"), F.col("_ry")).alias("_r"))
     state = F.when(F.col("n") < least, "insufficient_observations").when((F.col("_ux") < unique) | (F.col("_uy") < unique), "constant_component").otherwise("estimable")
     r = F.when(state == "estimable", F.least(F.greatest(F.col("_r"), F.lit(-1.0)), F.lit(1.0)))
     sign = F.when(F.abs(r) <= 1e-12, 0).otherwise(F.signum(r)).cast("int")
@@ -87,7 +87,7 @@ def lag1(rows: DataFrame, keys: list[str], value: str, order: str, least: int =
     some = rows.where(F.col(value).isNotNull())
     by = Window.partitionBy(*keys).orderBy(order)
     both = some.select(*keys, F.col(value).alias("_x"), F.lag(value).over(by).alias("_p"))
-    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("_p") >= least, F.corr(F.when(F.col("_p").isNotNull(), F.col("_x")), "_p")).alias("autocorrelation"))
+    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("_p") >= least, safe_corr(F.col("_x"), F.col("_p"))).alias("autocorrelation"))
 
 
 def strided(rows: DataFrame, keys: list[str], order: str, stride: int) -> DataFrame:
@@ -150,7 +150,7 @@ def transitions(snapshots: DataFrame, scale: str = "scale_id") -> DataFrame:
     common = F.col("a").isNotNull() & F.col("b").isNotNull()
     some = F.col("a").isNotNull() | F.col("b").isNotNull()
     grouped = both.groupBy(scale, "snapshot").agg(
-        F.try_divide(F.count_if(common).cast("double"), F.count_if(some)).alias("edge_continuity"), F.corr(F.when(common, F.abs("a")), F.when(common, F.abs("b"))).alias("weight_continuity"),
+        F.try_divide(F.count_if(common).cast("double"), F.count_if(some)).alias("edge_continuity"), safe_corr(F.abs("a"), F.abs("b")).alias("weight_continuity"),
         F.avg(F.when(common, (F.signum("a") == F.signum("b")).cast("double"))).alias("sign_continuity"), F.count_if(common).alias("common_relations"),
     )
     parts = F.array_compact(F.array("edge_continuity", (F.col("weight_continuity") + 1) / 2, "sign_continuity"))
