@@ -77,5 +77,5 @@ def features(catalogue: DataFrame, windows: dict[str, str], step: str, least_dep
         F.when(F.col("event_count") >= least_spatial, _median(F.col("_far"))).alias("spatial_dispersion_km"), _median(F.col("_gaps")).alias("median_interevent_hours"),
         F.when(n > 0, mad(F.col("_gaps"))).alias("interevent_mad_hours"), F.when(n >= least_intervals, burst).alias("temporal_burstiness"),
     )
-    every = grid(catalogue, step).crossJoin(catalogue.sparkSession.createDataFrame([(w,) for w in windows], "window_id string"))
+    every = grid(catalogue, step).select(F.explode(F.array(*[F.lit(w) for w in windows])).alias("window_id"), "endpoint")
     return every.join(found, ["window_id", "endpoint"], "left").withColumns({"event_count": F.coalesce("event_count", F.lit(0)), "cumulative_energy": F.coalesce("cumulative_energy", F.lit(0.0))})

@@ -196,7 +196,7 @@ FEAT = CAT + """, bounds AS (
   SELECT m.window_id, m.endpoint, quantile_cont(2 * 6371.0088::DOUBLE * asin(sqrt(least(1, greatest(0, pow(sin(radians(latitude - centroid_latitude) / 2), 2) + cos(radians(centroid_latitude)) * cos(radians(latitude)) * pow(sin(radians(longitude - centroid_longitude) / 2), 2))))), 0.5) AS d
   FROM member m JOIN centred c ON c.window_id = m.window_id AND c.endpoint = m.endpoint GROUP BY 1, 2
 ), feat AS (
-  SELECT p.window_id, p.endpoint, coalesce(n, 0) AS event_count, round(maximum_magnitude, 6) AS maximum_magnitude, round(median_magnitude, 6) AS median_magnitude, round(coalesce(energy, 0), 3) AS cumulative_energy,
+  SELECT p.window_id, p.endpoint, coalesce(n, 0) AS event_count, round(maximum_magnitude, 6) AS maximum_magnitude, round(median_magnitude, 6) AS median_magnitude, round(coalesce(energy, 0), 0) AS cumulative_energy,
          round(log10(nullif(energy, 0)), 6) AS log_energy, round(median_depth_km, 6) AS median_depth_km, round(depth_mad_km, 6) AS depth_mad_km, round(centroid_latitude, 6) AS centroid_latitude, round(centroid_longitude, 6) AS centroid_longitude,
          CASE WHEN n >= 2 THEN round(d, 6) END AS spatial_dispersion_km, round(median_interevent_hours, 6) AS median_interevent_hours, round(interevent_mad_hours, 6) AS interevent_mad_hours, round(temporal_burstiness, 6) AS temporal_burstiness
   FROM points p LEFT JOIN centred c ON c.window_id = p.window_id AND c.endpoint = p.endpoint LEFT JOIN far f ON f.window_id = p.window_id AND f.endpoint = p.endpoint
@@ -207,7 +207,7 @@ EPT = "strftime(endpoint, '%Y-%m-%d %H:%M:%S') AS endpoint"
 def feature_table(spark, sf) -> DataFrame:
     """The frozen feature table that all later stages share; kept, as it is read often."""
     found = windows.features(catalogue(spark, sf), WINDOWS, STEP)
-    return found.select("window_id", "endpoint", *[F.round(c, 3 if c == "cumulative_energy" else 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes if c not in ("window_id", "endpoint")]).persist()
+    return found.select("window_id", "endpoint", *[F.round(c, 0 if c == "cumulative_energy" else 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes if c not in ("window_id", "endpoint")]).persist()
 
 
 @query(f"WITH {FEAT} SELECT * REPLACE (strftime(endpoint, '%Y-%m-%d %H:%M:%S') AS endpoint) FROM feat")
