@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts, associate, daily, graph, grid, normalise, relations, resample, windows
+from ..operators import alerts, associate, audit, daily, graph, grid, normalise, relations, resample, windows
 from ..sources.catalog import contract, from_events
 
 WINDOWS = {"24h": "24 hours", "72h": "72 hours"}
@@ -609,3 +609,52 @@ def crm_distance(spark, sf):
 @query()
 def relation_families(spark, sf):
     return graph.families(full_relations(spark, sf).where("abs(strength) >= 0.2"), ["window_id"])
+
+
+@query(f"""WITH {FEAT}, ranked AS (
+  SELECT window_id, rank() OVER (PARTITION BY window_id ORDER BY log_energy) + (count(*) OVER (PARTITION BY window_id, log_energy) - 1) / 2.0::DOUBLE AS x,
+    rank() OVER (PARTITION BY window_id ORDER BY median_interevent_hours) + (count(*) OVER (PARTITION BY window_id, median_interevent_hours) - 1) / 2.0::DOUBLE AS y,
+    rank() OVER (PARTITION BY window_id ORDER BY event_count) + (count(*) OVER (PARTITION BY window_id, event_count) - 1) / 2.0::DOUBLE AS z
+  FROM feat WHERE log_energy IS NOT NULL AND median_interevent_hours IS NOT NULL
+), c AS (SELECT window_id, count(*) AS n, corr(x, y) AS r, corr(x, z) AS a, corr(y, z) AS b FROM ranked GROUP BY 1), p AS (SELECT *, (r - a * b) / sqrt((1 - a * a) * (1 - b * b)) AS partial FROM c)
+SELECT window_id, n, round(r, 6) AS strength, round(partial, 6) AS partial_strength, CASE WHEN partial IS NULL THEN 'non_estimable' WHEN abs(partial) < 0.15 THEN 'redundant' ELSE 'informative' END AS redundancy FROM p""")
+def partial_spearman(spark, sf):
+    return r6(audit.partial_spearman(feature_table(spark, sf), ["window_id"], "log_energy", "median_interevent_hours", "event_count"))
+
+
+THIN = PAIRS + """, order_of AS (SELECT DISTINCT window_id, endpoint, (epoch_us(endpoint) // 21600000000) % 4 AS phase FROM feat), thin AS (
+  SELECT p.* FROM pairs p JOIN order_of o ON o.window_id = p.window_id AND o.endpoint = p.endpoint WHERE o.phase = 0
+)""" + _spearman_sql("few", "thin", "window_id", 20)
+
+
+@query(f"""WITH {THIN}, both_of AS (SELECT r.window_id, r.source, r.target, r.strength AS s, f.strength AS t, abs(r.strength - f.strength) AS c FROM rel r LEFT JOIN few f ON f.window_id = r.window_id AND f.source = r.source AND f.target = r.target)
+SELECT window_id, source, target, round(s, 6) AS strength, round(t, 6) AS thinned_strength, round(c, 6) AS change, CASE WHEN c IS NULL THEN 'non_estimable' WHEN c <= 0.15 THEN 'robust' WHEN c <= 0.3 THEN 'moderate' ELSE 'strong' END AS overlap_class FROM both_of""")
+def overlap_classes(spark, sf):
+    rows = pair_rows(spark, sf)
+    thinned = rows.where(F.pmod(F.floor(F.unix_micros("endpoint") / 21_600_000_000), F.lit(4)) == 0)
+    return r6(audit.overlap(relations.spearman(rows, ["window_id"]), relations.spearman(thinned, ["window_id"]), ["window_id"]))
+
+
+@query()
+def null_outcomes(spark, sf):
+    return audit.null_outcome(permutation_null(spark, sf), ["window_id", "source", "target"])
+
+
+@query()
+def relation_p_values(spark, sf):
+    return audit.with_p_values(full_relations(spark, sf))
+
+
+def snapshots(spark, sf) -> DataFrame:
+    return block_relations(spark, sf).where("strength is not null").select(F.col("window_id").alias("scale_id"), F.col("block").alias("snapshot"), "pair_id", "strength")
+
+
+@query()
+def continuity_nulls(spark, sf):
+    return audit.snapshot_nulls(snapshots(spark, sf))
+
+
+@query()
+def continuity_outcome(spark, sf):
+    found = snapshots(spark, sf)
+    return audit.continuity_outcome(audit.snapshot_nulls(found), relations.transitions(found))

@@ -139,3 +139,11 @@ def test_stream_episodes(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["start"], r["end"], r["maximum_level"]) for r in spark.sql("SELECT * FROM closed").collect()] == [(at(0), at(2), "structural")]
+
+
+def test_p_values_and_outcomes(spark):
+    from stratafold.operators import audit
+
+    assert audit.spearman_p(0.5, 20) == pytest.approx(0.024769, abs=1e-5) and audit.spearman_p(0.0, 9) == pytest.approx(1.0) and audit.spearman_p(None, 9) is None
+    nulls = spark.createDataFrame([("a", 0.01, 0.3), ("a", 0.04, 0.2), ("b", 0.5, -0.1), ("c", None, None)], "k string, p_value double, effect double")
+    assert {r["k"]: r["null_outcome"] for r in audit.null_outcome(nulls, ["k"]).collect()} == {"a": "exceeds_null", "b": "equivalent_to_null", "c": "not_admissible"}
