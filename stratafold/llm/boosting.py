@@ -53,7 +53,8 @@ def statistics(texts: pa.Array) -> np.ndarray:
     raw, docs, size = words.raw, words.docs, np.diff(words.offsets)
     n, doc = words.counts, words.doc_of_word()
     length = words.end - words.start
-    solid = np.maximum(per_doc(length, words.ptr), 1)
+    chars = per_doc(length, words.ptr)
+    solid = np.maximum(chars, 1)
     share = [per_doc(kind[raw], words.offsets) / solid for kind in _KINDS]
     hashes = words.hashes()
     # Lines end at a line break or with the text; empty ones don't count.
@@ -76,7 +77,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         return part / np.maximum(whole, 1)
 
     return np.column_stack([
-        np.log1p(size), np.log1p(n), over(solid, n), *share,
+        np.log1p(size), np.log1p(n), over(chars, n), *share,
         over(n, lines), over(lines - _distinct(line_hash, line_doc, docs), lines), over(_distinct(hashes, doc, docs), n),
         over(per_doc(same, words.ptr), n), over(n_windows - _distinct(windows, doc[inside], docs), n_windows), over(per_doc(length > 20, words.ptr), n),
     ])
