@@ -53,7 +53,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         (F.sum("source_size").over(every) * share).alias("mix"),
     ).withColumn("full", F.col("cap") * F.col("w_left") <= (F.col("mix") - F.col("used")) * F.col("w"))
     full = F.col("full")
-    level = (F.col("mix") - F.sum(F.when(full, F.col("cap")).otherwise(0)).over(every)) / F.sum(F.when(~full, F.col("w")).otherwise(0)).over(every)
+    level = F.try_divide(F.col("mix") - F.sum(F.when(full, F.col("cap")).otherwise(0)).over(every), F.sum(F.when(~full, F.col("w")).otherwise(0)).over(every))
     open_target = F.when(full, F.col("cap").cast("double")).otherwise(F.col("w") * level)
     return filled.select("source", "source_size", F.least(open_target, F.col("cap").cast("double")).alias("target"))
 
@@ -62,16 +62,16 @@ def _rank(key: Column, seed: str, inclusion: Column) -> Column:
     """Random odds over inclusion odds, mapped to 0..1 so that buckets are even in
     the part that decides; null where nothing is to be sampled."""
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    q = (u / (1 - u)) / (inclusion / (1 - inclusion))
+    q = F.try_divide(u / (1 - u), F.try_divide(inclusion, 1 - inclusion))
     return F.when(inclusion > 0, q / (1 + q))
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, carry: str | None = None, **shares) -> DataFrame:
     """Rows (id, source, size, source_size, target, copies) for all documents, and
-    the column ``carry``, a unique row number, if the caller has one."""
-    rows = F.col(carry) if carry else F.monotonically_increasing_id()
+    the column ``carry`` if one is named."""
+    carried = [F.col(carry)] if carry else []
     key = F.concat_ws("|", F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), rows.alias("_row"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("_row"), *carried)
     sized = store.table(sized, "sizes")
     plan = targets(sized, **shares)
     whole = F.floor(F.col("target") / F.col("source_size"))
@@ -83,7 +83,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         right = right.withColumnRenamed("source", "_source")
         return left.join(right, left["source"].eqNullSafe(right["_source"]), "left").drop("_source")
 
-    ranked = meet(sized, plan).select("id", "source", "size", "_row", "source_size", "target", "whole", "want", _rank(F.col("key"), seed, F.col("inclusion")).alias("v"))
+    ranked = meet(sized, plan).select("id", "source", "size", "_row", *carried, "source_size", "target", "whole", "want", _rank(F.col("key"), seed, F.col("inclusion")).alias("v"))
     ranked = store.table(ranked, "ranks")
 
     # Per source: the bucket path of the cut so far and the words still wanted at its start.
@@ -117,7 +117,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         placed = met.withColumn("closes", closes).withColumn("left", F.col("left") - F.coalesce("closed", F.lit(0))).drop("closer", "closed")
         placed = store.table(placed, "placed") if step < CLOSING_FITS else placed
     won = F.col("v").isNotNull() & (~F.col("beyond") | F.col("closes"))
-    return placed.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.when(won, 1).otherwise(0)).cast("long").alias("copies"), *([F.col("_row").alias(carry)] if carry else []))
+    return placed.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.when(won, 1).otherwise(0)).cast("long").alias("copies"), *carried)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -185,7 +185,17 @@ SELECT doc_id, size, source_size, target, source, copies, (size * copies)::BIGIN
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mixed documents: every row of ``docs`` as often as it is taken, with its
-    columns.  Rows are numbered in a written copy, so the sample and the copies agree."""
-    numbered = store.table(docs.withColumn("_at", F.monotonically_increasing_id()), "mix")
-    drawn = sample(numbered, carry="_at").where("copies > 0").select("_at", "copies")
-    return numbered.join(drawn, "_at").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    columns.  Rows are known by two hashes of all their columns; rows that are equal in
+    all of them are one row with the copies of all."""
+    since = store.mark()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    parts = [*columns, *[c.isNull() for c in columns]]
+    key = F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+    drawn = sample(docs.withColumn("__key", key), carry="__key").groupBy("__key").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    drawn = store.table(drawn, "copies")
+    store.release(docs.sparkSession, since, keep=(drawn,))
+    keyed = docs.withColumn("__key", key)
+    if not drawn.where("__rows > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["__key"])
+    taken = keyed.join(drawn.where("__copies > 0").select("__key", "__copies"), "__key")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

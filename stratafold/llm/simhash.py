@@ -29,6 +29,8 @@ from .words import Words, chunks
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
+#: Ids of 8 bytes that a broadcast may hold, checked by a count.
+BROADCAST_IDS = 2_000_000
 
 
 def fingerprints_of(texts: pa.Array, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -102,6 +104,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     reachable.  Alternating large-star and small-star; each round is written to the
     shared folder, and hubs are summarised by map-side minima before any shuffle.
     """
+    spark, since = edges.sparkSession, store.mark()
     current = store.table(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "links")
     before = None
     for _ in range(max_rounds):
@@ -113,6 +116,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # v and its other lesser neighbours w all hang on v's least neighbour m.
         current = joined.select(F.col("m").alias("u"), "v").union(joined.where("w > m").select(F.col("m").alias("u"), F.col("w").alias("v"))).distinct()
         current = store.table(current, "links")
+        store.release(spark, since, keep=(current,))
         state = current.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)")).alias("x")).first()
         if state == before or not state["n"]:
             break
@@ -129,7 +133,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = signed.groupBy("fp").agg(F.min("id").alias("node"))
     closed = components(links(nodes.where(F.col("node").isNotNull()), radius))
     roots = nodes.join(closed, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    return signed.join(roots, "fp", "left").select("id", "fp", "root")
+    # Written first, so that the join below has an exchange on either side and a hot
+    # fingerprint can be split.
+    return signed.join(store.table(roots, "roots"), "fp", "left").select("id", "fp", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -137,10 +143,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of several rows with that id one stays.  Columns are those of ``docs``.
     """
-    kept = store.table(near_duplicates(docs).where(F.col("id").eqNullSafe(F.col("root"))).groupBy("id").agg(F.count("*").alias("n")), "kept")
-    first = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+    since = store.mark()
+    judged = near_duplicates(docs).withColumn("stays", F.col("id").eqNullSafe(F.col("root")))
+    ids = judged.groupBy("id").agg(F.count("*").alias("n"), F.max("stays").alias("stays"))
+    ids = store.table(ids.where("n > 1 or not stays"), "dropped")
+    store.release(docs.sparkSession, since, keep=(ids,))
+    # The ids that go are few as a rule: up to a checked number they are broadcast, and
+    # whole texts stay where they are; beyond it the join is shuffled.
+    gone = ids.where("not stays").select("id")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    first = docs.join(gone, docs["doc_id"].eqNullSafe(gone["id"]), "left_anti")
     # Ids are unique as a rule; only where some are not need whole rows meet again.
-    return first if kept.where("n > 1").isEmpty() else first.dropDuplicates(["doc_id"])
+    return first if ids.where("stays").isEmpty() else first.dropDuplicates(["doc_id"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -37,15 +37,21 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/stratafold/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete every table that :func:`table` wrote in this process.
+def mark() -> int:
+    """A point in the list of written tables, for :func:`release`."""
+    return len(_WRITTEN)
 
-    Results that still read from them must have been written before.
-    """
-    jvm = spark.sparkContext._jvm
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables written after ``since`` but for those kept; only for tables
+    that no result still reads."""
+    kept = {df.stored_at for df in keep}
+    for path in [p for p in _WRITTEN[since:] if p not in kept]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN.remove(path)

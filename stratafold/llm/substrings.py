@@ -134,7 +134,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     """(seeds table, texts): the texts that repeats touch, one row for each distinct
     text, with ``key``, ``text`` and the starts of its repeated windows as arrays of
     runs ``runs`` (s, w): windows s to s + w."""
-    spark = docs.sparkSession
     table = store.table(seeds(docs, length, gram), "seeds")
     seen = table.select("key", F.explode(F.arrays_zip("h", "e", "s", "w")).alias("o")).select("key", "o.*")
     # Seeds that join nothing end here: one count for each anchor, combined before the shuffle.
@@ -199,9 +198,20 @@ def removed(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return texts.select("key", "text", "runs").mapInArrow(run, "key binary, n_removed long, kept string, kept_sha256 string, spans array<struct<start:int,end:int>>")
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    table, texts = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    lost = store.table(removed(texts).select("key", "n_removed", "kept_sha256"), "removed")
+def _removals(table: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
+    """One written row for each text that loses words."""
+    lost = removed(texts).select("key", *columns)
+    # A text is looked up by its least id; only repeated rows of that id bring it twice.
+    twice = table.groupBy("key", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return store.table(lost if twice.isEmpty() else lost.dropDuplicates(["key"]), "removed")
+
+
+def digest(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_words, n_removed, kept_sha256) for all documents."""
+    since = store.mark()
+    table, texts = repeats(docs)
+    lost = _removals(table, texts, ["n_removed", "kept_sha256"])
+    store.release(docs.sparkSession, since, keep=(table, lost))
     return (
         table.select("doc_id", "key", "n_words", "full_sha")
         .join(lost, "key", "left")
@@ -209,15 +219,20 @@ def query(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def query(spark, sf_dir: str) -> DataFrame:
+    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated passages: texts that lose words become their kept
     words joined by single spaces, with n_chars to match; other texts stay as they
     are.  Every row stays."""
-    _, texts = repeats(docs)
-    lost = store.table(removed(texts).select(F.col("key").alias("_key"), F.col("kept").alias("_kept")), "removed")
-    joined = docs.withColumn("_md5", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).join(lost, F.col("_md5") == F.col("_key"), "left")
-    text = F.coalesce("_kept", "text")
-    changed = {"text": text, "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept").cast("long"))}
+    since = store.mark()
+    lost = _removals(*repeats(docs), ["kept"])
+    store.release(docs.sparkSession, since, keep=(lost,))
+    lost = lost.select(F.col("key").alias("__key"), F.col("kept").alias("__kept"))
+    joined = docs.withColumn("__md5", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).join(lost, F.col("__md5") == F.col("__key"), "left")
+    changed = {"text": F.coalesce("__kept", "text"), "n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.char_length("__kept").cast("long")) if "n_chars" in docs.columns else None}
     return joined.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
