@@ -137,7 +137,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     table = store.table(seeds(docs, length, gram), "seeds")
     seen = table.select("key", F.explode(F.arrays_zip("h", "e", "s", "w")).alias("o")).select("key", "o.*")
     # Seeds that join nothing end here: one count for each anchor, combined before the shuffle.
-    again = seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written first, so that the join has an exchange on either side and a hot anchor can be split.
+    again = store.table(seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     matched = seen.join(again, "h", "left_semi").groupBy("h", "e", "key", "s", "w").agg(F.count("*").alias("n"))
     matched = store.table(matched, "matched")
     contexts = matched.groupBy("h", "e").agg(F.sum("n").alias("n"), F.min(F.struct("key", "s")).alias("one"))
