@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -138,23 +138,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return signed.join(store.table(roots, "roots"), "fp", "left").select("id", "fp", "root")
 
 
+def row_of(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What names a row: its id, nulls last, and its text.  Least rows have least ids."""
+    return F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("print"))
+
+
+def key_of(row: str) -> Column:
+    return F.xxhash64(f"{row}.unknown", f"{row}.id", f"{row}.print")
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """Keys of 8 bytes, to be broadcast up to a checked number; beyond it a join is shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+
+def stay(docs: DataFrame, judged: DataFrame, since: int) -> DataFrame:
+    """The documents whose row is the root of its component, from judged rows (id, root)
+    of :func:`row_of`; of equal rows one stays.  Tables since ``since`` are deleted."""
+    rows = judged.groupBy("id").agg(F.count("*").alias("n"), F.max(F.col("id") == F.col("root")).alias("stays"))
+    rows = store.table(rows.where("n > 1 or not stays").select(key_of("id").alias("_gone"), "stays"), "dropped")
+    store.release(docs.sparkSession, since, keep=(rows,))
+    # The rows that go are few as a rule, so that whole texts stay where they are.
+    keyed = docs.withColumn("_near", row_of()).withColumn("_near", key_of("_near"))
+    gone, again = (bounded(rows.where(which).select("_gone")) for which in ("not stays", "stays"))
+    met = F.col("_near") == F.col("_gone")
+    first = keyed.join(gone, met, "left_anti")
+    # Rows are unique as a rule; only those that are not meet again.
+    if not again.isEmpty():
+        first = first.join(again, met, "left_anti").unionByName(first.join(again, met, "left_semi").dropDuplicates(["_near"]))
+    return first.drop("_near")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay: the one with the least id of each component.
+    """The documents that stay: the least row, by id and text, of each component.
 
-    Of several rows with that id one stays.  Columns are those of ``docs``.
+    Rows with a null or repeated id replace each other only within a component; of
+    equal rows one stays.  Columns are those of ``docs``.
     """
     since = store.mark()
-    judged = near_duplicates(docs).withColumn("stays", F.col("id").eqNullSafe(F.col("root")))
-    ids = judged.groupBy("id").agg(F.count("*").alias("n"), F.max("stays").alias("stays"))
-    ids = store.table(ids.where("n > 1 or not stays"), "dropped")
-    store.release(docs.sparkSession, since, keep=(ids,))
-    # The ids that go are few as a rule: up to a checked number they are broadcast, and
-    # whole texts stay where they are; beyond it the join is shuffled.
-    gone = ids.where("not stays").select("id")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    first = docs.join(gone, docs["doc_id"].eqNullSafe(gone["id"]), "left_anti")
-    # Ids are unique as a rule; only where some are not need whole rows meet again.
-    return first if ids.where("stays").isEmpty() else first.dropDuplicates(["doc_id"])
+    return stay(docs, near_duplicates(docs.select(row_of().alias("id"), "text"), "id"), since)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

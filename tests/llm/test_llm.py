@@ -97,6 +97,14 @@ def test_op2_fingerprints_and_components(docs, none):
     assert simhash.near_duplicates(none).count() == 0 == simhash.keep_one(none).count()
 
 
+def test_op2_keeps_rows_not_ids(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(str(rng.random()) for _ in range(80)) for _ in range(4))
+    docs = spark.createDataFrame([(None, a), (None, b), (None, b), (1, a), (2, c), (2, d), (2, d), (3, d), (4, None), (5, "")], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (None, b), (2, c), (2, d), (4, None)], key=str)
+
+
 def test_op2_chain_closes(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 51)], "u long, v long")
     assert {r["node"]: r["root"] for r in simhash.components(chain).collect()} == {i: 1 for i in range(2, 41)} | {51: 50}
