@@ -15,7 +15,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from stratafold.llm import boosting, classlm, fixity, media, mixing, packing, queries, rules, simhash, store, substrings, tokens, urls
+from stratafold.llm import boosting, classlm, fixity, media, mixing, near, packing, queries, rules, simhash, store, substrings, tokens, urls
 from stratafold.llm.words import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -110,6 +110,34 @@ def test_op2_chain_closes(spark):
     assert {r["node"]: r["root"] for r in simhash.components(chain).collect()} == {i: 1 for i in range(2, 41)} | {51: 50}
 
 
+def test_pipeline_near_copies_are_all_found(docs, none, spark):
+    rng = random.Random(5)
+    bases = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(4, 120))] for _ in range(40)]
+    texts = []
+    for base in bases:
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(400)}"
+            texts.append(" ".join(copy[rng.randint(0, 2) :]))
+    texts += [" ".join(bases[0] * 3), None, "", "A b", "a  B", "a b c"]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1)) if w) for w in ((t or "").lower().split() for t in texts)]
+    root = list(range(len(sets)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                a_root, b_root = sorted((find(i), find(j)))
+                root[b_root] = a_root
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows, "").collect())
+    assert kept == [i for i in range(len(texts)) if find(i) == i] and len(kept) < len(texts) - 60
+    assert near.keep_one(docs).columns == docs.columns and near.keep_one(none).count() == 0
+
+
 def test_op3_meets_targets(docs, none, spark):
     got = mixing.sample(docs, carry=None).collect()
     size = Counter()
