@@ -588,7 +588,7 @@ def catalogue_contract(spark, sf):
 
 @query()
 def bootstrap_ci(spark, sf):
-    return resample.bootstrap(pair_rows(spark, sf), ["window_id"], "endpoint", reps=100, block=8)
+    return resample.bootstrap(pair_rows(spark, sf), ["window_id"], "endpoint")
 
 
 @query()
@@ -598,17 +598,17 @@ def missingness_stress(spark, sf):
 
 @query()
 def permutation_null(spark, sf):
-    return resample.nulls(pair_rows(spark, sf), ["window_id"], "endpoint", "block", reps=100)
+    return resample.nulls(pair_rows(spark, sf), ["window_id"], "endpoint", "block")
 
 
 @query()
 def crm_distance(spark, sf):
-    return resample.correlation_distance(feature_table(spark, sf), RELATED, rows=60, least=28)
+    return resample.correlation_distance(feature_table(spark, sf), RELATED)
 
 
 @query()
 def relation_families(spark, sf):
-    return graph.families(full_relations(spark, sf).where("abs(strength) >= 0.2"), ["window_id"])
+    return graph.families(full_relations(spark, sf).where("abs(strength) >= 0.2"), ["window_id"], reps=300)
 
 
 @query(f"""WITH {FEAT}, ranked AS (
@@ -651,10 +651,10 @@ def snapshots(spark, sf) -> DataFrame:
 
 @query()
 def continuity_nulls(spark, sf):
-    return audit.snapshot_nulls(snapshots(spark, sf))
+    return audit.snapshot_nulls(snapshots(spark, sf), reps=1000)
 
 
 @query()
 def continuity_outcome(spark, sf):
     found = snapshots(spark, sf)
-    return audit.continuity_outcome(audit.snapshot_nulls(found), relations.transitions(found))
+    return audit.continuity_outcome(audit.snapshot_nulls(found, reps=1000), relations.transitions(found))

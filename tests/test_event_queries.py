@@ -1,11 +1,13 @@
 """Queries against their SQL on the driver's smallest tables."""
 
+import inspect
 import math
 import os
 
 import duckdb
 import pytest
 
+from stratafold.plans import event_queries
 from stratafold.plans.event_queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +46,36 @@ def test_nothing_outside_needs_llm():
             if n.endswith(".py"):
                 with open(os.path.join(folder, n), encoding="utf-8") as f:
                     assert "llm" not in f.read(), n
+
+
+def test_queries_have_the_reference_repetitions(monkeypatch):
+    """Repetitions, block and history that each registered query hands on."""
+    got = {}
+
+    class Any:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+    def spy(module, name):
+        kind = inspect.signature(getattr(module, name))
+
+        def call(*a, **k):
+            bound = kind.bind(*a, **k)
+            bound.apply_defaults()
+            got[name] = {x: bound.arguments[x] for x in ("reps", "block", "rows", "least") if isinstance(bound.arguments.get(x), int)}
+            return Any()
+
+        monkeypatch.setattr(module, name, call)
+
+    for name in ("pair_rows", "feature_table", "full_relations", "snapshots"):
+        monkeypatch.setattr(event_queries, name, lambda *_: Any())
+    for module, name in ((event_queries.resample, "bootstrap"), (event_queries.resample, "nulls"), (event_queries.resample, "correlation_distance"), (event_queries.graph, "families"), (event_queries.audit, "snapshot_nulls")):
+        spy(module, name)
+    for name in ("null_outcome", "continuity_outcome"):
+        monkeypatch.setattr(event_queries.audit, name, lambda *_: None)
+    monkeypatch.setattr(event_queries.relations, "transitions", lambda *_: None)
+    want = {"bootstrap": {"reps": 500, "block": 24}, "nulls": {"reps": 300}, "correlation_distance": {"rows": 120, "least": 56}, "families": {"reps": 300}, "snapshot_nulls": {"reps": 1000}}
+    for name, operator in (("bootstrap_ci", "bootstrap"), ("permutation_null", "nulls"), ("null_outcomes", "nulls"), ("crm_distance", "correlation_distance"), ("relation_families", "families"), ("continuity_nulls", "snapshot_nulls"), ("continuity_outcome", "snapshot_nulls")):
+        got.clear()
+        QUERIES[name](None, "")
+        assert got == {operator: want[operator]}, name
