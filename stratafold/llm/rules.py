@@ -5,10 +5,14 @@ of labelled documents is measured with the same expressions; sequential covering
 grows threshold conjunctions by information gain, prunes them on held-back rows
 and emits the accepted ones, in order, as one conditional expression.
 
+Rules are learned from labelled documents that the base rules keep.
+
 Defined results: a null text has no words; documents under ``min_words`` words or
 with over half their words in repeated three-word windows fail the base rules; with
 no labelled rows of both kinds there are no learned rules and the base decides
-alone; repeated rows are judged alike; extra columns are kept by :func:`judge`.
+alone; a labelled id with several rows is learned from its least text; repeated rows
+are judged alike; a very long text is measured whole, in arrays of its words;
+documents are carried in one struct, so extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -56,19 +60,23 @@ def _repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(_let(grams, windows)).cast("long")
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the base statistics, long, and the learned rules' measures, double."""
-    spare = [c for c in docs.columns if c.lower() not in {*BASE, *MEASURES, "_words", "_lines", "_text", "_marks"}]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = docs.select(*[F.col(f"`{c}`") for c in spare], text.alias("_text")).select(
-        "*",
+def row_of(docs: DataFrame) -> Column:
+    """All columns of a document as one struct, so that no name can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def measure(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, text) as row, the base statistics, long, and the learned rules'
+    measures, double."""
+    cut = rows.select("row", F.coalesce(F.col("text"), F.lit("")).alias("_text")).select(
+        "row",
         F.array_remove(F.split("_text", "[ \t\n\x0b\x0c\r]+"), "").alias("_words"),
         F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "").alias("_lines"),
         # All characters that are counted below; the rest of the text is read once.
         F.regexp_replace("_text", "[^A-Z0-9!#*$%&|<>]+", "").alias("_marks"),
     )
     base = cut.select(
-        *[F.col(f"`{c}`") for c in spare],
+        "row",
         F.size("_words").cast("long").alias("n_words"),
         F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         _count("_marks", SYMBOLS).alias("n_symbols"),
@@ -87,7 +95,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(F.col(whole) > 0, part * 100.0 / F.col(whole)).otherwise(0.0)
 
     return base.select(
-        *[F.col(f"`{c}`") for c in spare],
+        "row",
         *BASE,
         share("n_symbols", "word_chars").alias("symbol_share"),
         share("_upper", "word_chars").alias("upper_share"),
@@ -125,7 +133,7 @@ def _covered(rule: Rule, rows: list) -> list:
     return [r for r in rows if all(c.holds(r[0]) for c in rule)]
 
 
-def _best_condition(rows: list, measures: list[str]) -> tuple[float, Condition | None]:
+def _best_condition(rows: list, measures: list[str], barred: set[tuple[str, bool]] = frozenset()) -> tuple[float, Condition | None]:
     """The threshold with the most information gain for the rejected class."""
     p0 = sum(bad for _, bad in rows)
     n0 = len(rows) - p0
@@ -140,26 +148,28 @@ def _best_condition(rows: list, measures: list[str]) -> tuple[float, Condition |
             if a == b:
                 continue
             for above, pp, nn in ((False, p, n), (True, p0 - p, n0 - n)):
-                if pp and (gain := pp * (math.log2(pp / (pp + nn)) - before)) > best:
+                if pp and (name, above) not in barred and (gain := pp * (math.log2(pp / (pp + nn)) - before)) > best:
                     best, found = gain, Condition(name, above, (a + b) / 2)
     return best, found
 
 
-def learn(rows: list[tuple[int, dict[str, float], int]], measures: list[str] = MEASURES, max_rules: int = 16, max_conditions: int = 4, min_precision: float = 0.95, min_support: int = 3) -> list[Rule]:
+def learn(rows: list[tuple[int, dict[str, float], int]], measures: list[str] = MEASURES, max_rules: int = 16, max_conditions: int = 4, min_precision: float = 0.9, min_support: int = 3) -> list[Rule]:
     """Ordered rejection rules from rows (key, measures, quality).
 
-    Two thirds of the rows, by key, grow a rule; the others prune it.  A rule stays
-    only if it is precise on both parts; then all it covers is set aside and the
-    next rule is grown from the rest.
+    Two thirds of the rows, by key, grow a rule; the others prune it.  A rule stays if
+    it is precise where it grew and, with one more good row assumed, over both parts;
+    then all it covers is set aside and the next rule is grown from the rest.  After
+    a rule that does not stay, the next one may not begin with the same measure and side.
     """
     grow = [(m, int(not quality)) for key, m, quality in rows if zlib.crc32(str(key).encode()) % 3]
     prune = [(m, int(not quality)) for key, m, quality in rows if not zlib.crc32(str(key).encode()) % 3]
     rules: list[Rule] = []
+    barred: set[tuple[str, bool]] = set()
     while len(rules) < max_rules:
         rule: Rule = ()
         inside = grow
         while len(rule) < max_conditions:
-            _, condition = _best_condition(inside, measures)
+            _, condition = _best_condition(inside, measures, barred if not rule else frozenset())
             if condition is None:
                 break
             rule += (condition,)
@@ -168,15 +178,20 @@ def learn(rows: list[tuple[int, dict[str, float], int]], measures: list[str] = M
             break
 
         def worth(candidate: Rule) -> float:
+            """Smoothed share of bad rows among those of the prune set that it covers."""
             hit = _covered(candidate, prune)
-            p = sum(bad for _, bad in hit)
-            return (2 * p - len(hit)) / len(hit) if hit else -1.0
-
-        rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=lambda r: (worth(r), -len(r)))
-        caught = _covered(rule, grow)
-        bad = sum(b for _, b in caught)
-        if bad < min_support or bad < min_precision * len(caught) or worth(rule) < 2 * min_precision - 1:
-            break
+            return (sum(bad for _, bad in hit) + 1) / (len(hit) + 2)
+
+        def stays(candidate: Rule) -> bool:
+            caught = _covered(candidate, grow)
+            bad, both = sum(b for _, b in caught), caught + _covered(candidate, prune)
+            return bad >= min_support and bad >= min_precision * len(caught) and sum(b for _, b in both) >= min_precision * (len(both) + 1) - 1
+
+        found = [r for r in (rule[:k] for k in range(len(rule), 0, -1)) if stays(r)]
+        if not found:
+            barred.add((rule[0].measure, rule[0].above))
+            continue
+        rule = max(found, key=lambda r: (worth(r), -len(r)))
         rules.append(_tightest(rule))
         grow = [r for r in grow if not all(c.holds(r[0]) for c in rule)]
         prune = [r for r in prune if not all(c.holds(r[0]) for c in rule)]
@@ -206,30 +221,36 @@ def verdict(rules: list[Rule]) -> Column:
     return chain.otherwise(F.lit(True))
 
 
+def base_failed(min_words: int = MIN_WORDS) -> Column:
+    return (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
     """Rules from at most ``max_labelled`` labelled documents, the first by hashed id."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality"))
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = measure(joined.select("_id", "_quality", "text")).select("_id", "_quality", *MEASURES).limit(2 * max_labelled).collect()
-    return learn(sorted(((r["_id"], {m: r[m] for m in MEASURES}, r["_quality"]) for r in rows), key=lambda r: (r[0], sorted(r[1].items()))))
+    one = joined.groupBy("_id").agg(F.min("_quality").alias("_quality"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = measure(one.select(F.struct("_id", "_quality").alias("row"), "text")).select("row.*", *MEASURES, base_failed().alias("_failed")).collect()
+    return learn(sorted(((r["_id"], {m: r[m] for m in MEASURES}, r["_quality"]) for r in rows if not r["_failed"]), key=lambda r: r[0]))
 
 
-def judge(docs: DataFrame, rules: list[Rule], min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with measures, base_failed and kept."""
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return measure(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+def judge(docs: DataFrame, rules: list[Rule], min_words: int = MIN_WORDS, carry: list[str] | None = None) -> DataFrame:
+    """Rows (row, statistics, measures, base_failed, kept): ``row`` is the document, or
+    only the columns to carry."""
+    measured = measure(docs.select((F.struct(*carry) if carry else row_of(docs)).alias("row"), "text"))
+    return measured.withColumn("base_failed", base_failed(min_words)).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rules = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge(docs.select("doc_id", "text"), rules).select("doc_id", *BASE, "base_failed", "kept")
+    return judge(docs, rules, carry=["doc_id"]).select("row.doc_id", *BASE, "base_failed", "kept")
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    judged = judge(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", "text"), fit(docs, labels))
+    judged = judge(docs, fit(docs, labels))
     # A column that is not deterministic keeps the filter above the projection; pushed
     # below it, the statistics would be computed once for every condition.
-    return judged.select("_row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("_stays")).where("_stays").select("_row.*")
+    return judged.select("row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("_stays")).where("_stays").select("row.*")

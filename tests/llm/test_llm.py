@@ -238,27 +238,65 @@ def test_op6_training_is_plain_descent_and_holds_on_unseen_names(spark):
     assert np.allclose(np.array(got) / urls.SCALE, w, atol=1e-6) and bias / urls.SCALE == pytest.approx(b, abs=1e-6)
 
 
+def statistics_of(text):
+    text = text or ""
+    w = WORD.findall(text)
+    grams = Counter(zip(w, w[1:], w[2:]))
+    covered = {k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    base = (len(w), sum(map(len, w)), sum(c in rules.SYMBOLS for c in text), len(lines) - len(set(lines)), len(covered))
+
+    def share(part, whole):
+        return part * 100.0 / whole if whole else 0.0
+
+    n, chars = base[:2]
+    measures = {
+        "symbol_share": share(base[2], chars), "upper_share": share(len(re.findall("[A-Z]", text)), chars), "bang_share": share(text.count("!"), n), "pipe_share": share(text.count("|"), n),
+        "digit_share": share(len(re.findall("[0-9]", text)), chars), "repeat_share": share(base[4], n), "distinct_share": share(len(set(w)), n), "dup_line_share": share(base[3], len(lines)),
+        "mean_word": share(chars, n) / 100.0, "top_gap": share(n - len(set(w)), n) - share(base[4], n),
+    }
+    return base, measures, n < 50 or 100 * base[4] > 50 * n
+
+
 def test_op7_statistics_and_learning(docs, none, spark):
-    got = [(r["doc_id"], *[r[c] for c in rules.BASE], r["base_failed"]) for r in rules.judge(docs, []).collect()]
-    want = []
-    for row in corpus():
-        text = row[1] or ""
-        w = WORD.findall(text)
-        grams = Counter(zip(w, w[1:], w[2:]))
-        covered = {k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
-        lines = [x for x in text.split("\n") if WORD.search(x)]
-        want.append((row[0], len(w), sum(map(len, w)), sum(c in rules.SYMBOLS for c in text), len(lines) - len(set(lines)), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)))
-    same(got, want)
+    got = [(r["row"]["doc_id"], *[r[c] for c in rules.BASE], r["base_failed"]) for r in rules.judge(docs, []).collect()]
+    same(got, [(r[0], *statistics_of(r[1])[0], statistics_of(r[1])[2]) for r in corpus()])
     assert rules.judge(none, []).count() == 0
     rng = random.Random(5)
     table = [(i, {m: rng.random() * 10 for m in rules.MEASURES} | {"symbol_share": 30.0 if i % 5 == 0 else rng.random()}, int(i % 5 != 0)) for i in range(400)]
     learned = rules.learn(table)
     assert len(learned) == 1 and learned[0][0].measure == "symbol_share" and learned[0][0].above
     assert rules.learn([]) == [] == rules.learn([(1, dict.fromkeys(rules.MEASURES, 0.0), 1)])
+    # A tempting first condition that does not prune well must not end the search.
+    mixed = [(i, dict.fromkeys(rules.MEASURES, 0.0) | {"bang_share": 9.0 if i % 2 else 0.0, "digit_share": 9.0 if i % 10 == 1 else 0.0}, 0 if i % 10 in (1, 3, 5) else 1) for i in range(300)]
+    assert any(c.measure == "digit_share" for rule in rules.learn(mixed) for c in rule)
     labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
     assert rules.filtered(docs, labels).columns == docs.columns
 
 
+def test_op7_any_column_names(docs, spark):
+    clash = docs
+    for name in ("n_words", "_upper", "_distinct", "row", "mean_word", "kept", "a.b", "_words"):
+        clash = clash.withColumn(name, rules.F.lit(3))
+    labels = spark.createDataFrame([(i, int(i < 38)) for i in range(42)], "doc_id long, quality int")
+    kept = rules.filtered(clash, labels)
+    assert kept.columns == clash.columns and kept.count() == rules.filtered(docs, labels).count()
+
+
+def test_op7_rules_hold_on_labels_not_learned_from(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    apart = rules.F.crc32(rules.F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    learned = rules.fit(docs, labels.where(~apart))
+    judged = {r["doc_id"]: r["kept"] for r in rules.judge(docs, learned, carry=["doc_id"]).select("row.doc_id", "kept").collect()}
+    texts = {r["doc_id"]: statistics_of(r["text"]) for r in docs.select("doc_id", "text").collect()}
+    assert learned and judged == {i: not failed and not any(all(c.holds(m) for c in rule) for rule in learned) for i, (_, m, failed) in texts.items()}
+    held = [(r["doc_id"], r["quality"]) for r in labels.where(apart).collect()]
+    right = sum(judged[i] == bool(q) for i, q in held) / len(held)
+    base_alone = sum((not texts[i][2]) == bool(q) for i, q in held) / len(held)
+    assert right > base_alone
+
+
 def test_op8_base_and_gain(docs, none, monkeypatch):
     tokens_of = [[w.encode() for w in WORD.findall((r[1] or "").translate(LOWER))] + [None] for r in corpus()]
     held = [r[0] is None or zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in corpus()]
