@@ -53,16 +53,37 @@ def same(rows, want):
     assert sorted(map(repr, rows)) == sorted(map(repr, want))
 
 
-def test_op1_finds_planted_damage(spark):
-    pages = [(i, f"http://h/{i}" if i % 5 else None, "<p>" + "e" * (i % 7) if i % 6 else None) for i in range(1200)] + [(None, "http://n", "x"), (3, "http://h/3", "<p>eee")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    assert {r["status"] for r in fixity.audit(df, df).collect()} == {"intact"}
-    other = df.where("page_id is null or page_id != 700").withColumn("html", fixity.F.expr("case when page_id = 40 then 'new' else html end"))
-    got = fixity.audit(df, other).collect()
-    assert len(got) == len(pages)
-    bad = {r["page_id"] for r in got if r["status"] != "intact"}
-    assert {40, 700} <= bad and all(i // 512 in (0, 1) for i in bad) and 1100 not in bad
-    assert fixity.audit(df.limit(0), df.limit(0)).count() == 0
+def audited(ours, theirs):
+    return {(r["page_id"], r["status"], r["copies"], r["corrupt"], r["missing"], r["added"]) for r in fixity.audit(ours, theirs).collect() if r["status"] != "intact"}
+
+
+def test_op1_locates_each_damage_alone(spark):
+    pages = [(i, f"http://h/{i}" if i % 5 else None, "<p>" + "e" * (i % 7) if i % 6 else None) for i in range(1024)]
+    pages += [(None, "http://n", "x"), (None, "http://m", "y"), *[(3, "http://h/3", "<p>eee")] * 2, *[(5, None, f"version {k}") for k in range(40)], (2000, "u", "long " * 300_000)]
+    columns = "page_id long, url string, html string"
+
+    def table(rows):
+        return spark.createDataFrame(rows, columns)
+
+    def without(i):
+        return [p for p in pages if p[0] != i]
+
+    df = table(pages)
+    whole = fixity.audit(df, df).collect()
+    assert {r["status"] for r in whole} == {"intact"} and sum(r["copies"] for r in whole) == len(pages)
+    ends = {}
+    for r in sorted((r for r in whole if r["shard"] == 0), key=lambda r: r["record_offset"]):
+        assert r["record_offset"] == ends.get(0, 0)
+        ends[0] = r["record_offset"] + r["record_length"] * r["copies"]
+    assert audited(df, table(without(700))) == {(700, "missing", 1, 0, 1, 0)}
+    assert audited(df, table([*pages, (4000, "u", "new")])) == {(4000, "added", 0, 0, 0, 1)}
+    assert audited(df, table([*without(40), (40, None, "a longer one")])) == {(40, "corrupt", 1, 1, 0, 0)}
+    assert audited(df, table([p for p in pages if p != (5, None, "version 7")])) == {(5, "missing", 1, 0, 1, 0)}
+    assert audited(df, table([*without(3), (3, "http://h/3", "<p>eee"), (3, "http://h/3", "<p>eee")])) == {(3, "missing", 3, 0, 1, 0)}
+    assert audited(df, table([p for p in pages if p[1] != "http://m"] + [(None, "http://m", "z")])) == {(None, "missing", 1, 0, 1, 0), (None, "added", 0, 0, 0, 1)}
+    clash = df.withColumn("shard", fixity.F.lit(1)).withColumn("digest", fixity.F.lit("d")).withColumn("node", fixity.F.lit("n"))
+    assert audited(clash, df) == set() and fixity.audit(df.limit(0), df.limit(0)).count() == 0
+    assert audited(df.where("page_id = 9"), df.limit(0)) == {(9, "missing", 1, 0, 1, 0)}
 
 
 def fingerprint(text):
