@@ -6,7 +6,7 @@ into arrays: one comparison for each tree and level scores a whole batch.
 
 Defined results: a null text is empty and is scored like any other; without labelled
 rows of both kinds every score is the share of good labels (0.5 without labels);
-repeated rows score alike; extra columns are ignored; an empty table gives no rows.
+repeated rows score alike; very long texts are scored whole, in memory of some ten times their length; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -164,8 +164,10 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **shape) -> Forest:
     chosen = labels.where("quality is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select(F.col("doc_id").alias("_id"), "quality")
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "quality", "text")
-    rows = measured(joined, ["_id", "quality"]).limit(2 * max_labelled).toArrow()
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # An id with several rows is learned from its least text.
+    one = joined.groupBy("_id").agg(F.min("quality").alias("quality"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = measured(one, ["_id", "quality"]).toArrow()
     order = np.argsort(rows.column("_id").to_numpy(), kind="stable")
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))[order] if rows.num_rows else np.zeros((0, len(FEATURES)))
     return train(x, rows.column("quality").to_numpy().astype(float)[order], **shape)

@@ -6,7 +6,8 @@ once; tiles are NPY bytes and hashes compare neighbours of a small resized image
 
 Defined results: null media gives null outputs; media that do not decode give a null
 array and the reason in ``error``; for texts as payloads, null is empty; repeated
-rows give equal values; extra columns are ignored; an empty table gives no rows.
+rows give equal values; a payload of any length is one image, whose planes take some twenty
+times its bytes in memory; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -198,8 +199,8 @@ def media_columns(media: DataFrame, id_col: str, data_col: str, side: int = TILE
                     if data.is_valid:
                         try:
                             image = decode(data.as_py())
-                        except MediaError as e:
-                            row[5] = str(e)
+                        except (ValueError, OverflowError, struct.error) as e:
+                            row[5] = str(e) or type(e).__name__
                         else:
                             plane = grey(image) >> (8 if image.dtype == np.uint16 else 0)
                             row = [*image.shape[:2], image.shape[2] if image.ndim == 3 else 1, tile(plane, side), difference_hash(plane), None]

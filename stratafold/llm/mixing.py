@@ -198,4 +198,4 @@ def mixed(docs: DataFrame) -> DataFrame:
     if not drawn.where("__rows > 1").isEmpty():
         keyed = keyed.dropDuplicates(["__key"])
     taken = keyed.join(drawn.where("__copies > 0").select("__key", "__copies"), "__key")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)

@@ -109,9 +109,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = current.union(current.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select("m", "v").where("m < v").distinct()
-        small = large.groupBy("v").agg(F.min("m").alias("m"))
+        # Written, so that the joins have an exchange on either side and a hub can be split.
+        least = store.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = store.table(both.join(least, "u").where("v > u").select("m", "v").where("m < v").distinct(), "large")
+        small = store.table(large.groupBy("v").agg(F.min("m").alias("m")), "small")
         joined = large.withColumnRenamed("m", "w").join(small, "v")
         # v and its other lesser neighbours w all hang on v's least neighbour m.
         current = joined.select(F.col("m").alias("u"), "v").union(joined.where("w > m").select(F.col("m").alias("u"), F.col("w").alias("v"))).distinct()

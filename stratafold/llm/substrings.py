@@ -8,11 +8,12 @@ first the whole context that an anchor answers for is compared (equal contexts a
 settled together), then every split of the remaining left and right extents.  Runs
 of confirmed windows are the maximal repeats.
 
-Window identity is a pair of independent 64-bit hashes of the words.
+Words are known by 64-bit hashes; a window by two 64-bit hashes of these.
 
 Defined results: a null text is empty; texts under ``length`` words lose nothing;
 equal texts of enough words, repeated rows included, lose all words; overlapping
-repeats are removed once; extra columns are ignored; an empty table gives no rows.
+repeats are removed once; a very long text is read whole, in memory of some ten times
+its length; extra columns are kept or ignored whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -139,8 +140,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     # Seeds that join nothing end here: one count for each anchor, combined before the shuffle.
     # Written first, so that the join has an exchange on either side and a hot anchor can be split.
     again = store.table(seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
-    matched = seen.join(again, "h", "left_semi").groupBy("h", "e", "key", "s", "w").agg(F.count("*").alias("n"))
-    matched = store.table(matched, "matched")
+    # So is what it gives: an aggregate by the same key in its stage would forbid that.
+    met = store.table(seen.join(again, "h", "left_semi"), "met")
+    matched = store.table(met.groupBy("h", "e", "key", "s", "w").agg(F.count("*").alias("n")), "matched")
     contexts = matched.groupBy("h", "e").agg(F.sum("n").alias("n"), F.min(F.struct("key", "s")).alias("one"))
     contexts = store.table(contexts, "contexts")
     kinds = store.table(contexts.groupBy("h").agg(F.count("*").alias("kinds")), "kinds")

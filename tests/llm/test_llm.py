@@ -202,8 +202,9 @@ def test_op4_round_trips(docs, none, spark):
     assert media.decode(b"P2 2 1 9 3 9 ").tolist() == [[3, 9]] and media.decode(b"P5 1 1 65535\n\x01\x02").tolist() == [[258]]
     whole = rng.random((7, 11))
     assert np.allclose(media.area_resize(whole, 3, 4), np.kron(whole, np.ones((3, 4))).reshape(3, 7, 4, 11).mean((1, 3)))
-    rows = media.media_columns(spark.createDataFrame([(1, bytearray(media.encode_bmp(rgb)), 0), (2, bytearray(b"junk"), 0), (3, None, 0)], "k long, data binary, error int"), "k", "data").orderBy("id").collect()
-    assert rows[0]["height"] == 6 and len(rows[0]["dhash"]) == 16 and rows[1]["error"] and rows[2]["dhash"] is None
+    rows = media.media_columns(spark.createDataFrame([(1, bytearray(media.encode_bmp(rgb)), 0), (2, bytearray(b"junk"), 0), (3, None, 0), (4, bytearray(b"P2 1 1 9 x"), 0), (5, bytearray(b"P3 1 1 9 99999999 1 1"), 0), (6, bytearray(b"P5 1"), 0), (7, bytearray(b"BM"), 0)], "k long, data binary, error int"), "k", "data").orderBy("id").collect()
+    assert rows[0]["height"] == 6 and len(rows[0]["dhash"]) == 16 and all(r["error"] for r in rows[1:2] + rows[3:]) and rows[2]["dhash"] is None
+    assert np.load(media.io.BytesIO(rows[0]["tile"])).shape == (media.TILE, media.TILE)
 
 
 def test_op5_trees(docs, none, spark):
