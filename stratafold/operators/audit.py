@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_corr
 from .relations import average_rank
-from .resample import correlation, seed_of
+from .resample import correlation, seed_of, sign_of
 
 
 def overlap_class(change: Column) -> Column:
@@ -88,11 +88,18 @@ def continuity_of(before: np.ndarray, after: np.ndarray) -> float | None:
     some = ~np.isnan(before) & ~np.isnan(after)
     if not some.any():
         return None
-    parts = [float(np.mean(np.sign(before[some]) == np.sign(after[some]))), float(some.sum() / max((~np.isnan(before) | ~np.isnan(after)).sum(), 1))]
+    parts = [float(np.mean(sign_of(before[some]) == sign_of(after[some]))), float(some.sum() / max((~np.isnan(before) | ~np.isnan(after)).sum(), 1))]
     weight = correlation(np.abs(before[some]), np.abs(after[some]))
     return float(np.mean([*parts, (weight + 1) / 2] if weight is not None else parts))
 
 
+def surrogate(row: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Weights and signs of the relations that are estimable, each shuffled among them."""
+    out, some = row.copy(), ~np.isnan(row)
+    out[some] = rng.permutation(np.abs(row[some])) * rng.permutation(np.sign(row[some]))
+    return out
+
+
 def snapshot_nulls(snapshots: DataFrame, scale: str = "scale_id", reps: int = 200) -> DataFrame:
     """Observed mean continuity of each scale against three nulls: snapshots in random
     order, relation labels permuted in each snapshot, and weights and signs shuffled."""
@@ -113,7 +120,7 @@ def snapshot_nulls(snapshots: DataFrame, scale: str = "scale_id", reps: int = 20
                 elif name == "label_permutation":
                     m = np.array([r[rng.permutation(len(r))] for r in x])
                 else:
-                    m = np.array([rng.permutation(np.abs(r)) * rng.permutation(np.sign(r)) for r in x])
+                    m = np.array([surrogate(r, rng) for r in x])
                 if (value := mean(m)) is not None:
                     draws.append(value)
             p = (1 + sum(d >= observed for d in draws)) / (1 + len(draws)) if draws else None

@@ -21,6 +21,11 @@ def pairs(table: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     return table.select(*keys, F.inline(F.array(*each))).where("x is not null and y is not null")
 
 
+def sign_of(strength: Column) -> Column:
+    """-1, 0 or 1; a strength that is zero but for rounding has the sign 0."""
+    return F.when(F.abs(strength) <= 1e-12, 0).otherwise(F.signum(strength)).cast("int")
+
+
 def average_rank(x: str, by: list[str]) -> Column:
     """Rank with ties averaged."""
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
@@ -33,8 +38,7 @@ def spearman(rows: DataFrame, keys: list[str], least: int = LEAST, unique: int =
     found = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("x").alias("_ux"), F.count_distinct("y").alias("_uy"), safe_corr(F.col("_rx"), F.col("_ry")).alias("_r"))
     state = F.when(F.col("n") < least, "insufficient_observations").when((F.col("_ux") < unique) | (F.col("_uy") < unique), "constant_component").otherwise("estimable")
     r = F.when(state == "estimable", F.least(F.greatest(F.col("_r"), F.lit(-1.0)), F.lit(1.0)))
-    sign = F.when(F.abs(r) <= 1e-12, 0).otherwise(F.signum(r)).cast("int")
-    return found.select(*keys, "source", "target", pair_id(F.col("source"), F.col("target")).alias("pair_id"), "n", r.alias("strength"), sign.alias("sign"), state.alias("estimability"))
+    return found.select(*keys, "source", "target", pair_id(F.col("source"), F.col("target")).alias("pair_id"), "n", r.alias("strength"), sign_of(r).alias("sign"), state.alias("estimability"))
 
 
 def persistence(full: DataFrame, blocks: DataFrame, keys: list[str], least: float = 0.20) -> DataFrame:
@@ -54,7 +58,7 @@ def leave_one_block(blocks: DataFrame, keys: list[str]) -> DataFrame:
     some = blocks.where("strength is not null")
     total, n = F.sum("strength").over(by), F.count("*").over(by)
     without = F.when(n > 1, (total - F.col("strength")) / (n - 1))
-    return some.select(*keys, "source", "target", "block", without.alias("without_block"), F.abs(without - total / n).alias("change"), (F.signum(without) == F.signum(total)).alias("same_sign"))
+    return some.select(*keys, "source", "target", "block", without.alias("without_block"), F.abs(without - total / n).alias("change"), (sign_of(without) == sign_of(total)).alias("same_sign"))
 
 
 def status(evidence: DataFrame) -> DataFrame:
@@ -100,7 +104,7 @@ def multiscale(relations: DataFrame, scales: list[str]) -> DataFrame:
     whether their signs agree."""
     wide = relations.groupBy("pair_id").pivot("window_id", scales).agg(F.first("strength"))
     values = F.array_compact(F.array(*[F.col(s) for s in scales]))
-    signs = F.array_distinct(F.transform(values, lambda v: F.signum(v)))
+    signs = F.array_distinct(F.transform(values, sign_of))
     strong = F.size(F.filter(values, lambda v: F.abs(v) >= 0.20))
     consistent = F.size(signs) == 1
     kind = F.when(F.size(values) == 0, "non_estimable").when(~consistent, "scale_inconsistent").when(strong == len(scales), "all_scales").when(strong >= 2, "multi_scale").when(strong == 1, "single_scale").otherwise("unsupported")
@@ -151,7 +155,7 @@ def transitions(snapshots: DataFrame, scale: str = "scale_id") -> DataFrame:
     some = F.col("a").isNotNull() | F.col("b").isNotNull()
     grouped = both.groupBy(scale, "snapshot").agg(
         F.try_divide(F.count_if(common).cast("double"), F.count_if(some)).alias("edge_continuity"), safe_corr(F.abs("a"), F.abs("b")).alias("weight_continuity"),
-        F.avg(F.when(common, (F.signum("a") == F.signum("b")).cast("double"))).alias("sign_continuity"), F.count_if(common).alias("common_relations"),
+        F.avg(F.when(common, (sign_of(F.col("a")) == sign_of(F.col("b"))).cast("double"))).alias("sign_continuity"), F.count_if(common).alias("common_relations"),
     )
     parts = F.array_compact(F.array("edge_continuity", (F.col("weight_continuity") + 1) / 2, "sign_continuity"))
     return grouped.withColumn("rcs", F.when(F.size(parts) >= 2, F.aggregate(parts, F.lit(0.0), lambda x, y: x + y) / F.size(parts)))

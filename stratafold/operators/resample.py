@@ -30,6 +30,11 @@ def spearman_of(x: np.ndarray, y: np.ndarray) -> float | None:
     return correlation(ranks(x), ranks(y)) if len(x) else None
 
 
+def sign_of(x: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1; values that are zero but for rounding have the sign 0."""
+    return np.where(np.abs(x) <= 1e-12, 0.0, np.sign(x))
+
+
 def block_indices(n: int, block: int, rng: np.random.Generator) -> np.ndarray:
     """Circular moving blocks that cover n rows."""
     starts = rng.integers(0, n, -(-n // block))
@@ -51,7 +56,7 @@ def bootstrap(rows: DataFrame, keys: list[str], order: str, reps: int = 500, blo
         rng, full = np.random.default_rng(seed_of(*key)), spearman_of(x, y)
         draws = [spearman_of(x[i], y[i]) for i in (block_indices(len(x), block, rng) for _ in range(reps))]
         n, low, mid, high = _interval(draws)
-        support = np.mean([np.sign(d) == np.sign(full) for d in draws if d is not None]) if n and full is not None else None
+        support = np.mean([sign_of(d) == sign_of(full) for d in draws if d is not None]) if n and full is not None else None
         return pd.DataFrame([[*key, full, n, low, mid, high, support]], columns=[*by, "strength", "valid", "ci_low", "median", "ci_high", "sign_support"])
 
     kinds = dict(rows.dtypes)

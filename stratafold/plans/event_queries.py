@@ -480,7 +480,7 @@ def block_persistence(spark, sf):
 
 
 @query(f"""WITH {PAIRS}, rest AS (SELECT *, sum(strength) OVER w AS t, count(*) OVER w AS k FROM blk WHERE strength IS NOT NULL WINDOW w AS (PARTITION BY window_id, source, target))
-SELECT window_id, source, target, block, round((t - strength) / nullif(k - 1, 0), 6) AS without_block, round(abs((t - strength) / nullif(k - 1, 0) - t / k), 6) AS change, sign((t - strength) / nullif(k - 1, 0)) = sign(t) AS same_sign FROM rest""")
+SELECT window_id, source, target, block, round((t - strength) / nullif(k - 1, 0), 6) AS without_block, round(abs((t - strength) / nullif(k - 1, 0) - t / k), 6) AS change, (CASE WHEN abs((t - strength) / nullif(k - 1, 0)) <= 1e-12 THEN 0 ELSE sign((t - strength) / nullif(k - 1, 0)) END) = (CASE WHEN abs(t) <= 1e-12 THEN 0 ELSE sign(t) END) AS same_sign FROM rest""")
 def loo_blocks(spark, sf):
     return r6(relations.leave_one_block(block_relations(spark, sf), ["window_id"]))
 
@@ -522,7 +522,7 @@ def lag1_autocorrelation(spark, sf):
 
 
 SCALES = PAIRS + """, wide AS (SELECT pair_id, max(strength) FILTER (window_id = '24h') AS a, max(strength) FILTER (window_id = '72h') AS b FROM rel GROUP BY 1), multi AS (
-  SELECT pair_id, a, b, (coalesce(abs(a), 0) >= 0.2)::INT + (coalesce(abs(b), 0) >= 0.2)::INT AS supported_scales, CASE WHEN a IS NULL AND b IS NULL THEN NULL ELSE coalesce(sign(a), sign(b)) = coalesce(sign(b), sign(a)) END AS sign_consistent FROM wide
+  SELECT pair_id, a, b, (coalesce(abs(a), 0) >= 0.2)::INT + (coalesce(abs(b), 0) >= 0.2)::INT AS supported_scales, CASE WHEN a IS NULL AND b IS NULL THEN NULL ELSE coalesce(CASE WHEN a IS NULL THEN NULL WHEN abs(a) <= 1e-12 THEN 0 ELSE sign(a) END, CASE WHEN b IS NULL THEN NULL WHEN abs(b) <= 1e-12 THEN 0 ELSE sign(b) END) = coalesce(CASE WHEN b IS NULL THEN NULL WHEN abs(b) <= 1e-12 THEN 0 ELSE sign(b) END, CASE WHEN a IS NULL THEN NULL WHEN abs(a) <= 1e-12 THEN 0 ELSE sign(a) END) END AS sign_consistent FROM wide
 )"""
 
 
@@ -571,7 +571,7 @@ def strongest_relations(spark, sf):
 
 @query(f"""WITH {PAIRS}, snap AS (SELECT window_id, block AS s, pair_id, strength FROM blk WHERE strength IS NOT NULL), lim AS (SELECT window_id, min(s) AS lo, max(s) AS hi FROM snap GROUP BY 1),
 paired AS (SELECT coalesce(a.window_id, b.window_id) AS scale_id, coalesce(a.s, b.s - 1) AS snapshot, a.strength AS a, b.strength AS b FROM snap a FULL JOIN snap b ON b.window_id = a.window_id AND b.s - 1 = a.s AND b.pair_id = a.pair_id),
-g AS (SELECT scale_id, snapshot, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) / count(*)::DOUBLE AS ec, corr(CASE WHEN b IS NOT NULL THEN abs(a) END, CASE WHEN a IS NOT NULL THEN abs(b) END) AS wc, avg(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (sign(a) = sign(b))::INT END) AS sc, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS common
+g AS (SELECT scale_id, snapshot, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) / count(*)::DOUBLE AS ec, corr(CASE WHEN b IS NOT NULL THEN abs(a) END, CASE WHEN a IS NOT NULL THEN abs(b) END) AS wc, avg(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN ((CASE WHEN abs(a) <= 1e-12 THEN 0 ELSE sign(a) END) = (CASE WHEN abs(b) <= 1e-12 THEN 0 ELSE sign(b) END))::INT END) AS sc, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS common
   FROM paired JOIN lim ON lim.window_id = scale_id AND snapshot >= lo AND snapshot < hi GROUP BY 1, 2)
 SELECT scale_id, snapshot, round(ec, 6) AS edge_continuity, round(wc, 6) AS weight_continuity, round(sc, 6) AS sign_continuity, common AS common_relations,
   CASE WHEN 1 + (wc IS NOT NULL)::INT + (sc IS NOT NULL)::INT >= 2 THEN round((ec + coalesce((wc + 1) / 2, 0) + coalesce(sc, 0)) / (1 + (wc IS NOT NULL)::INT + (sc IS NOT NULL)::INT), 6) END AS rcs FROM g""")
