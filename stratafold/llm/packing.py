@@ -1,16 +1,19 @@
 """Best-fit packing of token sequences by bin completion.
 
-Only the histogram of piece lengths, at most one row for each length and salt, comes
-to the driver.  There bin completion plans patterns: around the largest remaining
-piece, undominated fillings are enumerated, branches are pruned by the waste that the
-incumbent still allows, and the best-fit-decreasing plan is the first incumbent.  A
-pattern is used as often as the counts allow, so a plan has a few thousand patterns
-at any input size.  Rows are then ranked within their length, salted so that a common
-length is no hot spot, and looked up in the plan.
+Only the histogram of piece lengths comes to the driver.  There bin completion plans
+patterns: around the largest remaining piece, undominated fillings are enumerated,
+branches are pruned by the waste that the incumbent still allows, and the
+best-fit-decreasing plan is the first incumbent.  A pattern is used as often as the
+counts allow, or once, so every multiplicity can be reached.  With :data:`COMPLETE` the
+search ends only with a least number of sequences; with the usual effort, which grows
+with the number of lengths, the best plan found stands.  Pieces as long as a sequence need no plan.
+All others are ranked within their length, salted by how many there are so that a
+common length is no hot spot, and looked up in the plan.
 
 Defined results: a null text is empty and packs as its end id alone; equal texts and
 repeated rows are packed each on their own; only documents of over ``capacity`` ids
-are cut; extra columns are ignored; an empty table gives no rows.
+are cut; a very long text is encoded whole, in memory of some twenty times its length;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +35,30 @@ from .words import Words, chunks, lists
 
 CAPACITY = 2048
 END_ID = 0
-SALTS = 64
-#: Search effort of the planner; beyond it the best plan so far stands.
-MAX_NODES = 4000
-MAX_FILLINGS = 12
+#: Pieces of one length that are ranked in one task.
+SALT_ROWS = 100_000
 
 Pattern = tuple[tuple[int, int], ...]
 Plan = list[tuple[Pattern, int]]
 
 
+@dataclass(frozen=True)
+class Effort:
+    """Limits of the search; None is no limit."""
+
+    nodes: int | None = None  #: sequences completed
+    fillings: int | None = None  #: branches of a node
+    steps: int | None = None  #: pieces tried for the fillings of a node
+    width: int | None = None  #: lengths tried for one space
+
+
+COMPLETE = Effort()
+
+
+def usual_effort(lengths: int) -> Effort:
+    return Effort(4000 + 2 * lengths, 12, 200, 4)
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     """Best-fit decreasing over a histogram, whole groups of equal bins at a time."""
     open_bins: dict[int, list[tuple[dict[int, int], int]]] = {}
@@ -82,10 +101,10 @@ def _fits_inside(small: list[int], large: list[int]) -> bool:
     return False
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int], most: int = MAX_FILLINGS, effort: int = 200, width: int = 4) -> list[list[int]]:
-    """Undominated maximal fillings of ``room`` from ascending ``lengths``, least waste
-    first.  Of each open space the ``width`` largest pieces that fit are tried."""
+def fillings(room: int, lengths: list[int], counts: dict[int, int], effort: Effort = COMPLETE) -> list[list[int]]:
+    """Undominated maximal fillings of ``room`` from ascending ``lengths``, least waste first."""
     found: list[list[int]] = []
+    most, width = effort.steps or 1 << 60, effort.width or 1 << 60
     steps = 0
 
     def extend(top: int, space: int, chosen: list[int]) -> None:
@@ -93,7 +112,7 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int], most: int =
         steps += 1
         closed, tried = True, 0
         at = bisect_right(lengths, min(top, space)) - 1
-        while at >= 0 and tried < width and steps < effort:
+        while at >= 0 and tried < width and steps < most:
             x = lengths[at]
             if chosen.count(x) < counts[x]:
                 closed, tried = False, tried + 1
@@ -107,7 +126,9 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int], most: int =
     extend(room, room, [])
     kept: list[list[int]] = []
     for f in sorted(found, key=lambda f: (room - sum(f), len(f))):
-        if len(kept) < most and not any(_fits_inside(f, k) for k in kept if len(f) <= 5):
+        if effort.fillings is not None and len(kept) >= effort.fillings:
+            break
+        if not any(_fits_inside(f, k) for k in kept if len(f) <= 5):
             kept.append(f)
     return kept or [[]]
 
@@ -128,9 +149,10 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return int(max(-(-mass[-1] // capacity), sharing.max(initial=0)))
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> Plan:
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, effort: Effort | None = None) -> Plan:
     """A packing of a histogram of lengths by bin completion, in bulk steps."""
     counts = {x: n for x, n in counts.items() if n}
+    effort = effort or usual_effort(len(counts))
     total = sum(x * n for x, n in counts.items())
     plan = best_fit(counts, capacity)
     bins = sum(n for _, n in plan)
@@ -138,7 +160,7 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int =
     nodes = 0
     # Depth first: (counts before the step, the step, bins and waste with it, path before it).
     stack: list[tuple] = [(counts, None, 0, 0, None)]
-    while stack and bins > least and nodes < max_nodes:
+    while stack and bins > least and (effort.nodes is None or nodes < effort.nodes):
         left, step, used, waste, path = stack.pop()
         nodes += 1
         if waste > (bins - 1) * capacity - total:  # can't end below the incumbent
@@ -161,13 +183,15 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int =
         lengths = sorted(left)
         largest = lengths[-1]
         left[largest] -= 1
-        branches = []
-        for filling in fillings(capacity - largest, lengths, left):
+        often, once = [], []
+        for filling in fillings(capacity - largest, lengths, left, effort):
             need = Counter([largest, *filling])
             times = min((left[x] + (x == largest)) // k for x, k in need.items())
-            branches.append((left, (need, times), used + times, waste + times * (capacity - largest - sum(filling)), path))
+            for into, n in ((often, times), (once, 1)):
+                if into is often or times > 1:
+                    into.append((left, (need, n), used + n, waste + n * (capacity - largest - sum(filling)), path))
         left[largest] += 1
-        stack += branches[::-1]
+        stack += once[::-1] + often[::-1]
     return plan
 
 
@@ -226,30 +250,41 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, salts: int = SALTS, max_nodes: int = MAX_NODES, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, effort: Effort | None = None, with_ids: bool = False, salt_rows: int = SALT_ROWS) -> DataFrame:
     """The pieces with sequence_id and offset."""
-    cut = pieces(docs, path, capacity, with_ids=with_ids).withColumn("_row", F.monotonically_increasing_id())
-    cut = store.table(cut.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")), "pieces")
-    found = cut.groupBy("length", "_salt").agg(F.count("*").alias("n")).toArrow()
-    length, salt, n = (found.column(c).to_numpy().astype(np.int64) for c in ("length", "_salt", "n"))
-    table = np.zeros((capacity + 1, salts), np.int64)
-    table[length, salt] = n
-    base = np.cumsum(table, axis=1) - table
-    totals = table.sum(axis=1)
-    place = Lookup(plan_bins({int(x): int(totals[x]) for x in np.flatnonzero(totals)}, capacity, max_nodes))
-    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row")))
+    cut = store.table(pieces(docs, path, capacity, with_ids=with_ids).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    short = cut.where(F.col("length") < capacity)
+    totals = np.zeros(capacity, np.int64)
+    found = short.groupBy("length").agg(F.count("*").alias("n")).toArrow()
+    totals[found.column("length").to_numpy()] = found.column("n").to_numpy()
+    salts = 1 + totals // salt_rows
+    first = np.cumsum(salts) - salts
+    salt = F.pmod(F.xxhash64("_row"), F.get(F.array(*[F.lit(int(s)) for s in salts]), F.col("length").cast("int"))).cast("int")
+    short = short.withColumn("_salt", salt)
+    # One row for each salt_rows pieces and one for each length.
+    found = short.groupBy("length", "_salt").agg(F.count("*").alias("n")).toArrow()
+    table = np.zeros(int(salts.sum()), np.int64)
+    table[first[found.column("length").to_numpy()] + found.column("_salt").to_numpy()] = found.column("n").to_numpy()
+    base = np.cumsum(table) - table
+    base -= np.repeat(base[first], salts)
+    plan = plan_bins({int(x): int(totals[x]) for x in np.flatnonzero(totals)}, capacity, effort)
+    place, planned = Lookup(plan), sum(n for _, n in plan)
+    ranked = short.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row")))
     keep = [c for c in cut.columns if not c.startswith("_")]
     at = {c: i for i, c in enumerate(ranked.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             size = np.asarray(part.column(at["length"]))
-            rank = base[size, np.asarray(part.column(at["_salt"]))] + np.asarray(part.column(at["_rank"])) - 1
+            rank = base[first[size] + np.asarray(part.column(at["_salt"]))] + np.asarray(part.column(at["_rank"])) - 1
             sequence, offset = place(size, rank)
             yield pa.RecordBatch.from_arrays([*(part.column(at[c]) for c in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
     kinds = dict(cut.dtypes)
-    return ranked.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", sequence_id long, offset long")
+    placed = ranked.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", sequence_id long, offset long")
+    # A whole sequence each, numbered after the planned ones.
+    full = cut.where(F.col("length") == capacity).select(*keep, (F.col("_row") + planned).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -369,6 +369,36 @@ def test_op9_tokens_and_places(docs, none):
     assert len(bins) == packing.lower_bound(Counter(r["length"] for r in rows), 2048)
     assert sum(len(r["ids"]) for r in packing.sequences(got).collect()) == sum(r["length"] for r in rows)
     assert packing.pack(none, path).count() == 0
+    salted = packing.pack(docs, path, salt_rows=2).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in salted}) == len(rows) and len({r["sequence_id"] for r in salted}) == len(bins)
+
+
+def fewest_bins(items, capacity):
+    """By all subsets: the least (bins, fill of the last one) that holds each subset."""
+    best = [(0, capacity)] + [None] * ((1 << len(items)) - 1)
+    for s in range(1, len(best)):
+        for i, x in enumerate(items):
+            if s >> i & 1:
+                bins, fill = best[s ^ (1 << i)]
+                got = (bins, fill + x) if fill + x <= capacity else (bins + 1, x)
+                best[s] = min(best[s] or got, got)
+    return best[-1][0]
+
+
+def test_op9_complete_search_is_optimal():
+    rng, better = random.Random(4), 0
+    for _ in range(150):
+        items = [rng.randint(8, 60) for _ in range(rng.randint(5, 10))]
+        items += items[: rng.randint(0, 2)]
+        counts = Counter(items)
+        plan, used = packing.plan_bins(counts, 100, packing.COMPLETE), Counter()
+        for pattern, times in plan:
+            assert sum(x * k for x, k in pattern) <= 100
+            used.update({x: k * times for x, k in pattern})
+        first = sum(t for _, t in packing.best_fit(counts, 100))
+        assert used == counts and sum(t for _, t in plan) == fewest_bins(items, 100) <= first
+        better += sum(t for _, t in plan) < first
+    assert better  # best fit alone is not optimal on some
 
 
 def test_op9_plans_are_sound_and_near_the_bound():
