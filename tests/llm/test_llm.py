@@ -324,15 +324,59 @@ def test_op8_base_and_gain(docs, none, monkeypatch):
     held = [r[0] is None or zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in corpus()]
     c = Counter(w for x, h in zip(tokens_of, held) if not h for w in x)
     n, v = sum(c.values()), len(c)
-    model, counts = classlm.fit(docs.where(~classlm.held_out()), top=20, own_units=10, classes=4)
-    got = classlm.score(docs, model, counts, ["doc_id"]).collect()
+    lexicon = classlm.lexicon_of(docs.where(~classlm.held_out()), top=20, own_units=10, classes=4)
+    model = classlm.model_of(classlm.resolved(docs.where(~classlm.held_out()), lexicon, []), lexicon)
+    got = classlm.score(docs, model, ["doc_id"]).collect()
     base = np.log10(n + 0.1 * (v + 1))
     want = [(r[0], len(x), sum(c[w] > 0 for w in x), round(sum(np.log10(c[w] + 0.1) - base for w in x), 5)) for r, x in zip(corpus(), tokens_of)]
     same([(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 5) + 0.0) for r in got], [(a, b, d, float(e)) for a, b, d, e in want])
-    assert model.tokens == n and np.allclose((10**model.step).sum(1), 1)
-    empty_model, empty_counts = classlm.fit(none)
-    assert classlm.score(none, empty_model, empty_counts, ["doc_id"]).count() == 0
-    assert all(r["n_known"] == 0 for r in classlm.score(docs, empty_model, empty_counts, ["doc_id"]).collect())
+    assert lexicon.tokens == n and np.allclose((10**model.step).sum(1), 1)
+    # The score again, from the classes of words one by one.
+    spelled = {w: Words(pa.array([w.decode()])) for x in tokens_of for w in x if w}
+    hashed = {w: int(s.hashes()[0]) for w, s in spelled.items()}
+    classes = {r["h"] % (1 << 64): r["cls"] for r in lexicon.known.collect()} | dict(zip(lexicon.top.tolist(), lexicon.top_classes.tolist()))
+
+    def class_of(w):
+        return lexicon.end if w is None else int(classes.get(hashed[w], lexicon.shared[classlm.shared_unit(spelled[w])[0]]))
+
+    table, words = np.zeros((4, 4)), np.zeros(4)
+    for w in c:
+        words[class_of(w)] += 1
+    for x, h in zip(tokens_of, held):
+        if not h:
+            for a, b in zip([None, *x], x):
+                table[class_of(a), class_of(b)] += 1
+    for r, x in zip(sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"])), sorted(zip(corpus(), tokens_of), key=lambda r: (r[0][0] is None, r[0][0]))):
+        total = 0.0
+        for a, b in zip([None, *x[1]], x[1]):
+            ca, cb = class_of(a), class_of(b)
+            total += np.log10((table[ca, cb] + 0.1) / (table[ca].sum() + 0.4) * (c[b] + 0.1) / (table[:, cb].sum() + 0.1 * (words[cb] + 1)))
+        assert r["doc_id"] == x[0][0] and r["score"] == pytest.approx(total, abs=1e-6)
+    empty = classlm.fit(none)
+    assert classlm.score(none, empty, ["doc_id"]).count() == 0
+    assert all(r["n_known"] == 0 for r in classlm.score(docs, empty, ["doc_id"]).collect())
+
+
+def test_op8_batch_exchange_is_the_best_class(spark):
+    rng = np.random.default_rng(3)
+    table = rng.integers(1, 60, (4, 4)).astype(float)
+    words = [(h, int(rng.integers(0, 4)), [(int(s), int(rng.integers(1, 5))) for s in sorted(rng.choice(8, 4, replace=False))]) for h in range(60)]
+    rows = [(h, a, s, n) for h, a, found in words for s, n in found]
+    got = {r["h"]: r["cls"] for r in classlm.assigned(spark.createDataFrame(rows, "h long, a byte, slot short, n long"), table).collect()}
+    ent = lambda x: x * np.log(max(x, 1e-300))
+    for h, a, found in words:
+        total = sum(n for s, n in found if s < 4)
+        if total < 2:
+            assert h not in got
+            continue
+        gains = []
+        for b in range(4):
+            def up(x, n):
+                return ent(x) - ent(max(x - n, 0)) if b == a else ent(x + n) - ent(x)  # noqa: B023
+
+            g = sum(up(table[s, b] if s < 4 else table[b, s - 4], n) for s, n in found)
+            gains.append(g - up(table[b].sum(), total) - up(table[:, b].sum(), total))
+        assert gains[got[h]] == pytest.approx(max(gains))
 
 
 def test_op8_exchange_separates_classes():
