@@ -2,15 +2,19 @@
 
 Targets are water-filled: sources share the mix by weight, none above ``max_copies``
 times its size.  Each document gets the certain whole copies of its source's rate;
-the rest of the target is filled by an order sample.  Documents are ranked by random
-odds over inclusion odds, and the least ranks win until their words fill the
-target.  The cut is found by radix: sums of ever narrower rank buckets locate it, so
-a source of any size is never sorted in one task.
-
-Defined results: null texts have size 0; a null source is a source of its own, after
+the rest of the target is filled by an order sample of unequal probability: a document's
+inclusion goes with the square root of its words, scaled so that the expected words fill
+the target, and documents whose inclusion comes to one are certain.  Documents are ranked
+by random odds over inclusion odds, and the least ranks win until their words fill the
+target; at most three of those after the cut then close the gap that the last one leaves.
+The cut is found by radix: sums of ever narrower rank buckets locate it, so a source of
+any size is never sorted in one task.
+
+Defined results: null texts have size 0 and no copy but the whole ones; a null source is a source of its own, after
 all others; sources without words have target 0; repeated rows are documents of
-their own and may be taken differently; ties of ranks fall to the least id; an empty
-table gives no rows.
+their own and may be taken differently; ties of ranks fall to the least id; a very long
+text is counted whole; other columns may have any names but those that begin with two
+underscores; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -66,6 +70,29 @@ def _rank(key: Column, seed: str, inclusion: Column) -> Column:
     return F.when(inclusion > 0, q / (1 + q))
 
 
+def inclusions(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with what tells each document's inclusion from its odds weight: ``sure``, the least
+    weight that is certain, ``want``, the words left for the others, and ``scale``, the
+    words times weights of these.
+
+    One row for each source and weight; a weight is at most the root of a text's words.
+    """
+    levels = sized.where("size > 0").groupBy("source", odds_weight().alias("f")).agg(F.sum("size").alias("s"), F.sum(F.col("size") * odds_weight()).alias("sf"))
+    met = levels.join(plan.select(F.col("source").alias("_source"), F.col("want").alias("_want")), F.col("source").eqNullSafe(F.col("_source")))
+    down = Window.partitionBy("source").orderBy(F.col("f").desc())
+    ahead = F.sum("s").over(down.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")
+    rest = F.sum("sf").over(down.rowsBetween(0, Window.unboundedFollowing))
+    judged = met.select("source", "f", "s", "sf", "_want", (F.col("f") * (F.col("_want") - ahead) >= rest).alias("sure"))
+    found = judged.groupBy("source", "_want").agg(F.min(F.when(F.col("sure"), F.col("f"))).alias("sure"), F.sum(F.when(F.col("sure"), F.col("s")).otherwise(0)).alias("_s"), F.sum(F.when(~F.col("sure"), F.col("sf"))).alias("scale"))
+    found = found.select(F.col("source").alias("_source"), "sure", (F.col("_want") - F.col("_s")).alias("_left"), F.col("scale").cast("double").alias("scale"))
+    out = plan.join(found, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return out.withColumn("want", F.coalesce("_left", "want")).drop("_source", "_left")
+
+
+def odds_weight() -> Column:
+    return F.ceil(F.sqrt("size"))
+
+
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, carry: str | None = None, **shares) -> DataFrame:
     """Rows (id, source, size, source_size, target, copies) for all documents, and
     the column ``carry`` if one is named."""
@@ -76,14 +103,17 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     plan = targets(sized, **shares)
     whole = F.floor(F.col("target") / F.col("source_size"))
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, whole).otherwise(0)).withColumn("want", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = plan.withColumn("inclusion", F.when(F.col("source_size") > 0, F.col("want") / F.col("source_size")).otherwise(0.0))
-    plan = store.table(plan, "targets")
+    plan = store.table(inclusions(sized, plan), "targets")
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
         right = right.withColumnRenamed("source", "_source")
         return left.join(right, left["source"].eqNullSafe(right["_source"]), "left").drop("_source")
 
-    ranked = meet(sized, plan).select("id", "source", "size", "_row", *carried, "source_size", "target", "whole", "want", _rank(F.col("key"), seed, F.col("inclusion")).alias("v"))
+    certain = F.coalesce((F.col("size") > 0) & (odds_weight() >= F.col("sure")), F.lit(False))
+    inclusion = F.when((F.col("size") > 0) & ~certain, odds_weight() * F.col("want") / F.col("scale")).otherwise(0.0)
+    ranked = meet(sized, plan).select(
+        "id", "source", "size", "_row", *carried, "source_size", "target", (F.col("whole") + F.when(certain, 1).otherwise(0)).alias("whole"), "want", _rank(F.col("key"), seed, inclusion).alias("v")
+    )
     ranked = store.table(ranked, "ranks")
 
     # Per source: the bucket path of the cut so far and the words still wanted at its start.
@@ -147,10 +177,22 @@ WITH sized AS (
 ), plan AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets
 ), rated AS (
-  SELECT *, target - whole * source_size AS want, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM plan
+  SELECT *, target - whole * source_size AS asked FROM plan
+), levels AS (
+  SELECT source, ceil(sqrt(size))::BIGINT AS f, sum(size)::BIGINT AS s, sum(size * ceil(sqrt(size))::BIGINT)::BIGINT AS sf FROM sized WHERE size > 0 GROUP BY ALL
+), judged AS (
+  SELECT l.*, r.asked, f * (asked - ((sum(s) OVER (PARTITION BY l.source ORDER BY f DESC ROWS UNBOUNDED PRECEDING)) - s)::DOUBLE)
+         >= (sum(sf) OVER (PARTITION BY l.source ORDER BY f DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS is_sure
+  FROM levels l JOIN rated r ON l.source IS NOT DISTINCT FROM r.source
+), scaled AS (
+  SELECT source, min(f) FILTER (is_sure) AS sure, asked - coalesce(sum(s) FILTER (is_sure), 0)::DOUBLE AS want, (sum(sf) FILTER (NOT is_sure))::DOUBLE AS scale FROM judged GROUP BY source, asked
+), included AS (
+  SELECT s.*, r.source_size, r.target, coalesce(c.want, r.asked) AS want, r.whole + CASE WHEN size > 0 AND ceil(sqrt(size)) >= c.sure THEN 1 ELSE 0 END AS whole,
+         CASE WHEN size > 0 AND (c.sure IS NULL OR ceil(sqrt(size)) < c.sure) THEN ceil(sqrt(size)) * c.want / c.scale ELSE 0 END AS p
+  FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN scaled c ON c.source IS NOT DISTINCT FROM s.source
 ), odds AS (
-  SELECT s.*, r.source_size, r.target, r.whole, r.want, r.p, (('0x' || substr(hash, 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
-  FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
+  SELECT *, (('0x' || substr(hash, 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM included
 ), ranked AS (
   SELECT *, CASE WHEN p > 0 THEN ((u / (1 - u)) / (p / (1 - p))) / (1 + ((u / (1 - u)) / (p / (1 - p)))) END AS v FROM odds
 ), summed AS (
@@ -162,17 +204,17 @@ WITH sized AS (
 ), placed AS (
   SELECT s.*, e.edge_rank, e.gap FROM summed s LEFT JOIN edge e ON s.source IS NOT DISTINCT FROM e.source
 ), fit1 AS (
-  SELECT source, rank AS chosen1, gap - size AS gap1 FROM placed WHERE rank >= edge_rank AND gap >= size AND size > 0
+  SELECT source, rank AS chosen1, gap - size AS gap1 FROM placed WHERE v IS NOT NULL AND rank >= edge_rank AND gap >= size AND size > 0
   QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(gap - size), rank) = 1
 ), joined1 AS (
   SELECT p.*, f.chosen1, coalesce(f.gap1, p.gap) AS gap1 FROM placed p LEFT JOIN fit1 f ON p.source IS NOT DISTINCT FROM f.source
 ), fit2 AS (
-  SELECT source, rank AS chosen2, gap1 - size AS gap2 FROM joined1 WHERE rank >= edge_rank AND gap1 >= size AND size > 0 AND rank IS DISTINCT FROM chosen1
+  SELECT source, rank AS chosen2, gap1 - size AS gap2 FROM joined1 WHERE v IS NOT NULL AND rank >= edge_rank AND gap1 >= size AND size > 0 AND rank IS DISTINCT FROM chosen1
   QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(gap1 - size), rank) = 1
 ), joined2 AS (
   SELECT p.*, f.chosen2, coalesce(f.gap2, p.gap1) AS gap2 FROM joined1 p LEFT JOIN fit2 f ON p.source IS NOT DISTINCT FROM f.source
 ), fit3 AS (
-  SELECT source, rank AS chosen3, gap2 - size AS gap3 FROM joined2 WHERE rank >= edge_rank AND abs(gap2 - size) < gap2 AND rank IS DISTINCT FROM chosen1 AND rank IS DISTINCT FROM chosen2
+  SELECT source, rank AS chosen3, gap2 - size AS gap3 FROM joined2 WHERE v IS NOT NULL AND rank >= edge_rank AND abs(gap2 - size) < gap2 AND rank IS DISTINCT FROM chosen1 AND rank IS DISTINCT FROM chosen2
   QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(gap2 - size), rank) = 1
 ), joined3 AS (
   SELECT p.*, f.chosen3, coalesce(f.gap3, p.gap2) AS gap3 FROM joined2 p LEFT JOIN fit3 f ON p.source IS NOT DISTINCT FROM f.source
