@@ -46,17 +46,22 @@ def fingerprints_of(texts: pa.Array, size: int = SHINGLE, seed: int = SEED) -> n
     last = np.minimum(first + size, words.ptr[1:][doc])
     data, digest = joined.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(data[s:e], seed) for s, e in zip(at[first].tolist(), (at[last] - 1).tolist())), np.uint64, len(doc))
-    out = np.zeros(words.docs, np.uint64)
-    full = np.flatnonzero(shingles)
+    return majority(hashes, doc, shingles)
+
+
+def majority(hashes: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The 64 bits of each document that over half of its ``counts`` hashes set; ``doc`` ascends."""
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
     if len(full):
         # Bits of many hashes are counted together; pieces bound the memory.
-        ones = np.zeros((words.docs, 64), np.int64)
+        ones = np.zeros((len(counts), 64), np.int64)
         for a in range(0, len(hashes), 1 << 17):
             b = min(a + (1 << 17), len(hashes))
             bits = np.unpackbits(hashes[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             here, starts = np.unique(doc[a:b], return_index=True)
             ones[here] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        majority = (2 * ones[full] > shingles[full, None]).astype(np.uint8)
+        majority = (2 * ones[full] > counts[full, None]).astype(np.uint8)
         out[full] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
@@ -73,9 +78,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def ball(radius: int) -> list[int]:
-    """Masks (signed) of all changes of at most ``radius`` bits."""
-    masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(64), r)]
+def ball(radius: int, width: int = 64) -> list[int]:
+    """Masks (signed) of all changes of at most ``radius`` of ``width`` bits."""
+    masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
