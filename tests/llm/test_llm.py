@@ -194,13 +194,13 @@ def test_op3_meets_targets(docs, none, spark):
 def test_op3_longer_documents_are_likelier(spark):
     rng = random.Random(8)
     rows = [(i, "w " * rng.choice([4, 64, 400]), "ab"[i % 2]) for i in range(3000)]
-    got = mixing.sample(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.9, weights=(1, 1)).collect()
+    got = mixing.sample(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.95, weights=(1, 1)).collect()
     size = sum(r["size"] for r in got)
     share = {n: np.mean([r["copies"] for r in got if r["size"] == n]) for n in (4, 64, 400)}
     for source in "ab":
-        assert abs(sum(r["size"] * r["copies"] for r in got if r["source"] == source) - 0.45 * size) <= 32
+        assert abs(sum(r["size"] * r["copies"] for r in got if r["source"] == source) - 0.475 * size) <= 32
     # Inclusion goes with the root of the words until it comes to one.
-    assert share[400] == 1 and share[4] / share[64] == pytest.approx(2 / 8, rel=0.15)
+    assert share[400] == 1 and share[4] / share[64] == pytest.approx(2 / 8, rel=0.3)
 
 
 def test_op4_round_trips(docs, none, spark):
