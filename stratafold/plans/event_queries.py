@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts, associate, audit, daily, graph, grid, normalise, relations, resample, windows
 from ..sources.catalog import contract, from_events
+from ..sources.frozen import frozen
 
 WINDOWS = {"24h": "24 hours", "72h": "72 hours"}
 STEP = "6 hours"
@@ -205,9 +206,13 @@ EPT = "strftime(endpoint, '%Y-%m-%d %H:%M:%S') AS endpoint"
 
 
 def feature_table(spark, sf) -> DataFrame:
-    """The frozen feature table that all later stages share; kept, as it is read often."""
-    found = windows.features(catalogue(spark, sf), WINDOWS, STEP)
-    return found.select("window_id", "endpoint", *[F.round(c, 0 if c == "cumulative_energy" else 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes if c not in ("window_id", "endpoint")]).persist()
+    """The feature table that all later stages share, written once."""
+
+    def build() -> DataFrame:
+        found = windows.features(catalogue(spark, sf), WINDOWS, STEP)
+        return found.select("window_id", "endpoint", *[F.round(c, 0 if c == "cumulative_energy" else 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes if c not in ("window_id", "endpoint")])
+
+    return frozen(spark, "features", f"{sf}/events.parquet", build)
 
 
 @query(f"WITH {FEAT} SELECT * REPLACE (strftime(endpoint, '%Y-%m-%d %H:%M:%S') AS endpoint) FROM feat")
