@@ -460,11 +460,11 @@ def pair_rows(spark, sf) -> DataFrame:
 
 
 def full_relations(spark, sf) -> DataFrame:
-    return relations.spearman(pair_rows(spark, sf), ["window_id"])
+    return frozen(spark, "relations", f"{sf}/events.parquet", lambda: relations.spearman(pair_rows(spark, sf), ["window_id"]))
 
 
 def block_relations(spark, sf) -> DataFrame:
-    return relations.spearman(pair_rows(spark, sf), ["window_id", "block"], least=10)
+    return frozen(spark, "blocks", f"{sf}/events.parquet", lambda: relations.spearman(pair_rows(spark, sf), ["window_id", "block"], least=10))
 
 
 @query(f"WITH {PAIRS} SELECT window_id, source, target, pair_id, n, round(strength, 6) AS strength, sign, estimability FROM rel")

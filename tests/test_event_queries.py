@@ -7,13 +7,14 @@ import os
 import duckdb
 import pytest
 
-from stratafold.plans import event_queries
+from stratafold.plans import event_queries, selection_queries  # noqa: F401
 from stratafold.plans.event_queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 CHECKED = [
     "daily_activity", "daily_instability", "daily_alerts", "status_trend", "state_diff", "grid_phase", "radar_risk", "trailing_features", "robust_z", "window_alerts", "global_alerts", "alert_episodes",
     "event_clusters", "episode_association", "event_detection", "asof_next_event", "circular_shift_null", "spearman_pairs", "relation_status", "affine_flags", "bh_correction", "multiscale_pivot", "relational_transitions",
+    "shift_null", "dropped_rows", "conditional_redundancy", "relation_membership", "representative_states", "topological_continuity",
 ]
 
 
