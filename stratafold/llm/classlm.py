@@ -23,8 +23,9 @@ classes are equally likely; extra columns are ignored; an empty table gives no r
 
 from __future__ import annotations
 
+import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,10 +44,33 @@ SHARED_UNITS = 32
 CLASSES = 32
 DISCOUNT = 0.1
 FOLDS = 10
+#: Bounds of a worker's memory: rows sent to it at a time, bytes of text cut at a time, rows
+#: held before they are combined, and counts weighed at a time (some 2 KB each for 32 classes).
+BATCH_ROWS = 512
+CUT_BYTES = 256 << 10
+HELD_ROWS = 250_000
+WEIGHED = 1 << 14
 #: Stands for the end of a text; it has no bytes, so no word is taken for it.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 
 
+def small_batches(step: Callable) -> Callable:
+    """The step, all of whose tables are written before it returns, with Arrow batches of at
+    most ``BATCH_ROWS`` rows: whole texts stand in them, in the JVM and in the worker."""
+
+    @functools.wraps(step)
+    def run(df: DataFrame, *args, **kwargs):
+        conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        rows = int(was := conf.get(key))
+        conf.set(key, min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
+        try:
+            return step(df, *args, **kwargs)
+        finally:
+            conf.set(key, was)
+
+    return run
+
+
 def shared_unit(words: Words) -> np.ndarray:
     """The shared unit of each word, by its last byte and its length."""
     last = words.raw[words.end - 1].astype(np.int64)
@@ -60,33 +84,47 @@ def _with_end(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, units, words.ptr + np.arange(words.docs + 1)
 
 
+def _summed(parts: list[tuple]) -> tuple:
+    """One row for each key, which comes first: its last value summed, the others as met."""
+    key, *others, n = (np.concatenate(c) for c in zip(*parts))
+    parts.clear()
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    starts = np.flatnonzero(new)
+    first = order[starts]
+    return key[starts], *(c[first] for c in others), np.add.reduceat(n[order], starts) if len(n) else n
+
+
+def combined(found: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows (key, others, n) combined by key before the shuffle, in bounded memory: at most
+    ``HELD_ROWS`` and those of one part are held."""
+    held, size = [], 0
+    for part in found:
+        held.append(_summed([part]))
+        size += len(held[-1][0])
+        if size > HELD_ROWS:
+            held = [_summed(held)]
+            size = len(held[0][0])
+            if size > HELD_ROWS // 2:
+                yield held.pop()
+                size = 0
+    if held:
+        yield _summed(held)
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """Rows (h, unit, n): every training token with its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def merged() -> pa.RecordBatch:
-            h, u, n = (np.concatenate(c) for c in zip(*held))
-            keys, first, back = np.unique(h, return_index=True, return_inverse=True)
-            return keys, u[first], np.bincount(back, weights=n, minlength=len(keys)).astype(np.int64)
-
-        def batch(keys, units, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(units.astype(np.int32)), pa.array(n)], ["h", "unit", "n"])
-
-        for part in chunks(batches, "text"):
-            hashes, units, _ = _with_end(Words(part.column(0), lower=True))
-            keys, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            held.append((keys, units[first], n))
-            size += len(keys)
-            if size > 1_000_000:  # combined before the shuffle, in bounded memory
-                held = [merged()]
-                size = len(held[0][0])
-                if size > 500_000:
-                    yield batch(*held.pop())
-                    size = 0
-        if held:
-            yield batch(*merged())
+        def found() -> Iterator[tuple]:
+            for part in chunks(batches, "text", CUT_BYTES):
+                hashes, units, _ = _with_end(Words(part.column(0), lower=True))
+                yield hashes, units.astype(np.int32), np.ones(len(hashes), np.int64)
+
+        for keys, units, n in combined(found()):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(units), pa.array(n)], ["h", "unit", "n"])
 
     return train.select("text").mapInArrow(run, "h long, unit int, n long").groupBy("h").agg(F.min("unit").alias("unit"), F.sum("n").alias("n"))
 
@@ -155,7 +193,7 @@ def unit_bigrams(train: DataFrame, own: np.ndarray, own_units: np.ndarray, units
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(units * units, np.int64)
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", CUT_BYTES):
             hashes, shared, ptr = _with_end(Words(part.column(0), lower=True))
             u = _units(own, own_units, hashes, shared)
             before = np.concatenate([[end_unit], u[:-1]])
@@ -171,42 +209,27 @@ def unit_bigrams(train: DataFrame, own: np.ndarray, own_units: np.ndarray, units
 
 def contexts(train: DataFrame, own: np.ndarray, own_units: np.ndarray, member: np.ndarray, classes: int) -> DataFrame:
     """Rows (h, a, slot, n) of every training word without a unit of its own: its class so far
-    and how often the word before it (slot below ``classes``) or after it is of a class."""
+    and how often the word before it (slot below ``classes``) or after it is of a class, dealt by h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def merged(parts: list) -> tuple:
-            key, h, a, slot, n = (np.concatenate(c) for c in zip(*parts))
-            keys, first, back = np.unique(key, return_index=True, return_inverse=True)
-            return keys, h[first], a[first], slot[first], np.bincount(back, weights=n, minlength=len(keys)).astype(np.int64)
-
-        def batch(_, h, a, slot, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(a.astype(np.int8)), pa.array(slot.astype(np.int16)), pa.array(n)], ["h", "a", "slot", "n"])
-
-        for part in chunks(batches, "text"):
-            hashes, shared, ptr = _with_end(Words(part.column(0), lower=True))
-            units = _units(own, own_units, hashes, shared)
-            cls = member[units]
-            # A text begins after an end; its last token is an end, which has a unit.
-            before, after = np.roll(cls, 1), np.roll(cls, -1)
-            before[ptr[:-1]] = member[units[ptr[1:] - 1]]
-            at = np.flatnonzero(units < SHARED_UNITS)
-            h, a = np.tile(hashes[at], 2), np.tile(cls[at], 2)
-            slot = np.concatenate([before[at], after[at] + classes])
-            key = mix(h ^ mix(slot.astype(np.uint64) + np.uint64(1)))
-            held.append(merged([(key, h, a, slot, np.ones(len(key), np.int64))]))
-            size += len(held[-1][0])
-            if size > 1_000_000:  # combined before the shuffle, in bounded memory
-                held = [merged(held)]
-                size = len(held[0][0])
-                if size > 500_000:
-                    yield batch(*held.pop())
-                    size = 0
-        if held:
-            yield batch(*merged(held))
-
-    return train.select("text").mapInArrow(run, "h long, a byte, slot short, n long")
+        def found() -> Iterator[tuple]:
+            for part in chunks(batches, "text", CUT_BYTES):
+                hashes, shared, ptr = _with_end(Words(part.column(0), lower=True))
+                units = _units(own, own_units, hashes, shared)
+                cls = member[units]
+                # A text begins after an end; its last token is an end, which has a unit.
+                before, after = np.roll(cls, 1), np.roll(cls, -1)
+                before[ptr[:-1]] = member[units[ptr[1:] - 1]]
+                at = np.flatnonzero(units < SHARED_UNITS)
+                h, pair = hashes[at], before[at] * classes + after[at]
+                yield mix(h ^ mix(pair.astype(np.uint64) + np.uint64(1))), h, cls[at].astype(np.int8), pair.astype(np.int32), np.ones(len(h), np.int64)
+
+        for _, h, a, pair, n in combined(found()):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(a), pa.array(pair), pa.array(n)], ["h", "a", "pair", "n"])
+
+    # Dealt by word once, both neighbours in one row, which is parted afterwards.
+    dealt = train.select("text").mapInArrow(run, "h long, a byte, pair int, n long").repartition("h")
+    return dealt.select("h", "a", F.explode(F.expr(f"array(smallint(pair div {classes}), smallint(pair % {classes} + {classes}))")).alias("slot"), "n")
 
 
 def assigned(context: DataFrame, table: np.ndarray) -> DataFrame:
@@ -225,8 +248,11 @@ def assigned(context: DataFrame, table: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for begin in range(0, whole.num_rows, 1 << 14):
-                part = whole.slice(begin, 1 << 14)
+            ends, end = np.asarray(whole.column(2).offsets), 0
+            while end < whole.num_rows:
+                begin = end
+                end = max(int(np.searchsorted(ends, ends[begin] + WEIGHED, "right")) - 1, begin + 1)
+                part = whole.slice(begin, end - begin)
                 found = part.column(2)
                 flat, counts = found.flatten(), np.diff(np.asarray(found.offsets))
                 slot, n = np.asarray(flat.field("slot")).astype(np.int64), np.asarray(flat.field("n"))
@@ -245,8 +271,8 @@ def assigned(context: DataFrame, table: np.ndarray) -> DataFrame:
                 stay = score[np.arange(len(now)), best] <= score[np.arange(len(now)), now] + 1e-9
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(stay, now, best).astype(np.int32))], ["h", "cls"])
 
-    # Dealt by word once; the counts of a word are at most two for each class.
-    summed = context.repartition("h").groupBy("h", "a", "slot").agg(F.sum("n").alias("n"))
+    # The counts of a word are at most two for each class.
+    summed = context.groupBy("h", "a", "slot").agg(F.sum("n").alias("n"))
     listed = summed.groupBy("h", "a").agg(F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("found"), F.sum(F.when(F.col("slot") < classes, F.col("n")).otherwise(0)).alias("total"))
     return listed.where("total > 1").mapInArrow(run, "h long, cls int")
 
@@ -274,6 +300,7 @@ class Model:
     base: np.ndarray  #: log10 of each class's emission denominator
 
 
+@small_batches
 def lexicon_of(train: DataFrame, top: int = TOP, own_units: int = OWN_UNITS, classes: int = CLASSES) -> Lexicon:
     counts = store.table(word_counts(train), "counts")
     totals = counts.agg(F.sum("n").alias("N"), F.count("*").alias("V")).first()
@@ -306,6 +333,7 @@ def lexicon_of(train: DataFrame, top: int = TOP, own_units: int = OWN_UNITS, cla
     return Lexicon(h, n, cls, shared, end, classes, int(totals["N"] or 0), int(totals["V"]), words, known)
 
 
+@small_batches
 def resolved(docs: DataFrame, lexicon: Lexicon, carry: list[str]) -> DataFrame:
     """Rows (carried columns, n_tokens, n_known, logs, classes), written: the class of
     every token, one byte each, and the sum of log10 of the smoothed counts."""
@@ -315,7 +343,7 @@ def resolved(docs: DataFrame, lexicon: Lexicon, carry: list[str]) -> DataFrame:
     some, shared_class, end = len(lexicon.top) > 0, lexicon.shared, lexicon.end
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "_text"):
+        for part in chunks(batches, "_text", CUT_BYTES):
             hashes, shared, ptr = _with_end(Words(part.column(len(carry)), lower=True))
             at = np.minimum(np.searchsorted(top, hashes), len(top) - 1)
             hit = (top[at] == hashes) & some

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -394,6 +395,46 @@ def test_op8_batch_exchange_is_the_best_class(spark):
         assert gains[got[h]] == pytest.approx(max(gains))
 
 
+def test_op8_workers_hold_little(spark):
+    class Frame:
+        """Keeps the function that a step gives to its workers."""
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a: self
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 5000))) for _ in range(160)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])] * 2
+    member = np.arange(33) % 32
+    count, context, weigh = Frame(), Frame(), Frame()
+    classlm.word_counts(count)
+    classlm.contexts(context, np.array([classlm.END]), np.array([32]), member, 32)
+    classlm.assigned(weigh, np.ones((32, 32)))
+    words = 10000
+    found = [{"slot": s, "n": 1 + s} for s in range(20)] * words
+    listed = pa.ListArray.from_arrays(pa.array(np.arange(words + 1, dtype=np.int32) * 20), pa.array(found, pa.struct({"slot": pa.int16(), "n": pa.int64()})))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(words)), pa.array(np.zeros(words, np.int8)), listed, pa.array(np.full(words, 210))], ["h", "a", "found", "total"])
+    for frame, given, column, total in ((count, batches, "n", 2 * 160 * 5001), (context, batches, "n", 2 * 160 * 5000), (weigh, [rows], None, words)):
+        tracemalloc.start()
+        got = [int(np.asarray(b.column(column)).sum()) if column else b.num_rows for b in frame.run(iter(given))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100 << 20 and sum(got) == total
+
+    @classlm.small_batches
+    def rows_sent(df):
+        return df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sent = [r["n"] for r in rows_sent(spark.range(0, 2000, 1, 1))]
+    assert max(sent) <= classlm.BATCH_ROWS and sum(sent) == 2000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == kept
+
+
 def test_op8_exchange_separates_classes():
     rng = np.random.default_rng(0)
     table = np.zeros((12, 12))
