@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,22 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile each query's shuffle files go when it ends; else they stay until the
+    driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def mark() -> int:
     """A point in the list of written tables, for :func:`release`."""
     return len(_WRITTEN)

@@ -31,6 +31,9 @@ from .words import WORDS, Powers, Words, chunks, lists, mix
 
 LENGTH = 35
 GRAM = 12
+#: Bits of the sieve of touched texts: 16 for each, and at most 16 MB in all.
+SIEVE_BITS = 1 << 27
+_BLOCK = 1 << 15
 _WINDOW = Powers(0xC2B2AE3D27D4EB4F)
 
 
@@ -131,10 +134,28 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("tid", "text", "found").mapInArrow(run, "h long, wh long, tid long, s int, settled byte")
 
 
+def _sieved(docs: DataFrame, wanted: DataFrame, on: dict[str, str]) -> DataFrame:
+    """The rows of ``docs`` whose columns (keys of ``on``) may be those of a wanted row
+    (values of ``on``): all that are, and some that are not, which a join is to drop.
+    A bitmap of bounded size is broadcast, so that the rest is not shuffled."""
+    bits = min(SIEVE_BITS, max(_BLOCK, 1 << (16 * wanted.count()).bit_length()))
+
+    def placed(df: DataFrame, columns: list[str]) -> DataFrame:
+        at = F.pmod(F.xxhash64(*columns), F.lit(bits))
+        return df.withColumn("_block", F.shiftright(at, 15)).withColumn("_bit", at % _BLOCK)
+
+    blocks = placed(wanted, list(on.values())).select("_block", "_bit").repartition("_block")
+    blocks = blocks.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", F.shiftright(F.col("_bit"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1
+    return placed(docs, list(on)).join(F.broadcast(blocks), "_block").where(held).drop("_block", "_bit", "_map")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(seeds table, texts): the texts that repeats touch, one row for each distinct
     text, with ``key``, ``text`` and the starts of its repeated windows as arrays of
-    runs ``runs`` (s, w): windows s to s + w."""
+    runs ``runs`` (s, w): windows s to s + w.  A table goes as soon as the next is written."""
+    spark, since = docs.sparkSession, store.mark()
     table = store.table(seeds(docs, length, gram), "seeds")
     seen = table.select("key", F.explode(F.arrays_zip("h", "e", "s", "w")).alias("o")).select("key", "o.*")
     # Seeds that join nothing end here: one count for each anchor, combined before the shuffle.
@@ -142,7 +163,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     again = store.table(seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     # So is what it gives: an aggregate by the same key in its stage would forbid that.
     met = store.table(seen.join(again, "h", "left_semi"), "met")
+    store.release(spark, since, keep=(table, met))
     matched = store.table(met.groupBy("h", "e", "key", "s", "w").agg(F.count("*").alias("n")), "matched")
+    store.release(spark, since, keep=(table, matched))
     contexts = matched.groupBy("h", "e").agg(F.sum("n").alias("n"), F.min(F.struct("key", "s")).alias("one"))
     contexts = store.table(contexts, "contexts")
     kinds = store.table(contexts.groupBy("h").agg(F.count("*").alias("kinds")), "kinds")
@@ -152,14 +175,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     judged = judged.select("key", "h", "s", "w", (F.col("n") > 1).alias("settled"), ((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.struct("key", "s") == F.col("one")))).alias("emit"))
     found = judged.groupBy("key").agg(F.collect_list(F.struct("h", "s", "w", "settled", "emit")).alias("found"))
     one = table.groupBy("key").agg(F.min("doc_id").alias("_id")).join(found, "key")
+    one = store.table(one, "found")
+    store.release(spark, since, keep=(table, one))
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("_key"))
+    # Most texts are not touched as a rule: they stay where they are.
+    keyed = _sieved(keyed, one, {"_key": "key", "doc_id": "_id"})
     texts = keyed.join(one, (F.col("_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     texts = store.table(texts.select("key", "text", "found").withColumn("tid", F.monotonically_increasing_id()), "texts")
+    store.release(spark, since, keep=(table, texts))
     windows = store.table(_windows(texts, length), "windows")
     place = F.struct("tid", "s")
     twice = windows.groupBy("h", "wh").agg(F.max("settled").alias("x"), F.min(place).alias("a"), F.max(place).alias("b")).where("x = 1 or a != b").select("h", "wh")
     more = windows.where("settled = 0").join(twice, ["h", "wh"], "left_semi").groupBy("tid").agg(F.collect_list("s").alias("more"))
+    more = store.table(more, "more")
+    store.release(spark, since, keep=(table, texts, more))
     settled = F.filter("found", lambda x: x["settled"])
     runs = F.concat(
         F.transform(settled, lambda x: F.struct(x["s"].alias("s"), x["w"].alias("w"))),
@@ -212,8 +242,9 @@ def _removals(table: DataFrame, texts: DataFrame, columns: list[str]) -> DataFra
 def digest(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256) for all documents."""
     since = store.mark()
-    table, texts = repeats(docs)
-    lost = _removals(table, texts, ["n_removed", "kept_sha256"])
+    with store.lean(docs.sparkSession):
+        table, texts = repeats(docs)
+        lost = _removals(table, texts, ["n_removed", "kept_sha256"])
     store.release(docs.sparkSession, since, keep=(table, lost))
     return (
         table.select("doc_id", "key", "n_words", "full_sha")
@@ -231,7 +262,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     words joined by single spaces, with n_chars to match; other texts stay as they
     are.  Every row stays."""
     since = store.mark()
-    lost = _removals(*repeats(docs), ["kept"])
+    with store.lean(docs.sparkSession):
+        lost = _removals(*repeats(docs), ["kept"])
     store.release(docs.sparkSession, since, keep=(lost,))
     lost = lost.select(F.col("key").alias("__key"), F.col("kept").alias("__kept"))
     joined = docs.withColumn("__md5", F.unhex(F.md5(F.coalesce("text", F.lit(""))))).join(lost, F.col("__md5") == F.col("__key"), "left")

@@ -2,9 +2,11 @@
 long texts, ties, repeated rows and clashing extra columns, and on empty tables."""
 
 import hashlib
+import os
 import random
 import re
 import struct
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -554,6 +556,45 @@ def test_op10_against_all_windows(docs, none, spark):
     assert run(none) == [] and substrings.deduplicated(docs).columns == docs.columns and substrings.deduplicated(docs).count() == len(corpus())
 
 
+def test_op10_holds_little_disk(spark, monkeypatch):
+    """Repeats touch few of the texts: the others are not shuffled, and what is read no more goes."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(80):020x}" for _ in range(1000)) for _ in range(200)]
+    texts += [f"{t} {texts[0][:1500]}" for t in texts[1:9]] + texts[:3]
+    docs, total = store.table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), "docs"), sum(map(len, texts))
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    write, since, setting, held = store.table, store.mark(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+
+    def files():
+        return set(manager.getAllFiles().mkString("\n").split("\n")) - {""}
+
+    def table(df, tag):
+        out = write(df, tag)
+        time.sleep(0.3)  # shuffle files are deleted in the background
+        tables = [os.path.join(at, f) for path in store._WRITTEN[since:] for at, _, names in os.walk(path) for f in names]
+        held.append(sum(os.path.getsize(f) for f in [*tables, *files() - began] if os.path.exists(f)))
+        return out
+
+    def shuffled():
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    monkeypatch.setattr(store, "table", table)
+    began, before, set_to = files(), shuffled(), spark.conf.get(setting)
+    got = substrings.digest(docs)
+    assert max(held) < 0.4 * total and shuffled() - before < 0.4 * total and spark.conf.get(setting) == set_to
+    same([tuple(r) for r in got.collect()], repeats_of(list(enumerate(texts))))
+
+
+@pytest.mark.parametrize("most", [1 << 27, 1 << 15])
+def test_sieve_loses_no_wanted_row(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "SIEVE_BITS", most)  # the least one is crowded
+    rows = [(i or None, f"k{i}") for i in range(12000)]
+    wanted = store.table(spark.createDataFrame(rows[::3], "_id long, key string"), "wanted")
+    got = substrings._sieved(spark.createDataFrame(rows, "doc_id long, _key string"), wanted, {"_key": "key", "doc_id": "_id"})
+    kept = [tuple(r) for r in got.collect()]
+    assert set(rows[::3]) <= set(kept) and len(kept) == len(set(kept)) < (5000 if most > 1 << 15 else 6000)
+
+
 def test_words_keep_to_documents():
     words = Words(pa.array(["a b", None, "", "b", "\tc\n"]))
     assert words.counts.tolist() == [2, 0, 0, 1, 1] and words.hashes()[1] == words.hashes()[2]
